@@ -1,9 +1,18 @@
 """The training-data queries by name. None has SQL: tests hold them against brute force."""
 
-from coffer.llm import simhash
+from coffer.llm import bestfit, decontaminate, language, mixture, neighbours, privacy, quality, simhash, suffix, toxicity
 
 QUERIES = {
+    "op1_best_fit_packing": bestfit.op1,
+    "op2_mixture_packing": mixture.op2,
+    "op3_repeated_strings": suffix.op3,
+    "op4_quality_neighbours": quality.op4,
+    "op5_string_tiling": decontaminate.op5,
     "op6_simhash_segments": simhash.op6,
+    "op7_personal_data": privacy.op7,
+    "op8_tree_neighbours": neighbours.op8,
+    "op9_byte_convolution": language.op9,
+    "op10_toxic_segments": toxicity.op10,
 }
 
 ORACLE: dict[str, str] = {}
