@@ -27,7 +27,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coffer.llm.common import in_slices, materialize, table
+from coffer.llm.common import _TABLE, gram_hash, in_slices, materialize, mix, prefix_hash, span_hash, table
+
+#: Sketches of a text for copies that differ in more than a few places, and shingles in each.
+SKETCHES, SKETCH_SHINGLES = 12, 4
 
 
 def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
@@ -154,5 +157,107 @@ def near_duplicates(docs: DataFrame, width: int = 3, distance: int = 3, blocks:
     return rows.join(labels, "fp").select("doc_id", hexed, "component_id")
 
 
+def shingle_set(text: str | None, width: int = 5) -> np.ndarray:
+    """Sorted distinct hashes of the ``width``-word shingles of a text."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
+    prefix = prefix_hash(_TABLE[np.frombuffer(b"".join(words), np.uint8)])
+    hashes = mix(span_hash(prefix, np.concatenate([[0], ends[:-1]]), ends))
+    return np.unique(gram_hash(hashes, np.zeros(len(hashes), np.int64), min(width, len(hashes)))[0])
+
+
+def _majority(h: np.ndarray) -> int:
+    bits = np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64) * 2 > len(h)
+    return int(np.packbits(bits, bitorder="little").view("<u8")[0])
+
+
+def sketches(text: str | None, width: int = 5) -> list[int]:
+    """SimHash fingerprints of small shingle samples: for each salt those with the least salted hashes.
+
+    Two texts of similarity J draw one whole sample alike with a chance of
+    about ``J ** SKETCH_SHINGLES``, and meet in one of ``SKETCHES`` almost surely
+    from 0.8 on.
+    """
+    own = shingle_set(text, width)
+    if not len(own):
+        return []
+    out = []
+    for salt in range(1, SKETCHES + 1):
+        h = mix(own ^ np.uint64(salt * 0x9E3779B97F4A7C15 % 2**64))
+        least = np.sort(np.partition(h, SKETCH_SHINGLES)[:SKETCH_SHINGLES] if len(h) > SKETCH_SHINGLES else h)
+        out.append(_majority(mix(least + np.uint64(salt))) ^ salt)
+    return out
+
+
+def _similar(rows: DataFrame, pairs: DataFrame, width: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose shingle sets have a Jaccard similarity of at least ``similarity``."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        keep = []
+        for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            u, v = shingle_set(x, width), shingle_set(y, width)
+            both = len(np.intersect1d(u, v, assume_unique=True))
+            keep.append(both >= similarity * (len(u) + len(v) - both))
+        return batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    left = pairs.join(rows.select(F.col("row").alias("b"), F.col("text").alias("text")), "b")
+    both = left.join(rows.select(F.col("row").alias("a"), F.col("text").alias("other")), "a")
+    return both.select("a", "b", "text", "other").mapInArrow(in_slices(run), "a long, b long")
+
+
+def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> tuple[DataFrame, DataFrame]:
+    """``docs`` with a stable ``__row``, and (__row, __root) of every row that has copies.
+
+    Exact copies collapse first. Candidates are the links of whole-text
+    fingerprints and equal sketches; each is verified by the similarity of the
+    shingle sets. In a group of equal sketches every member is held against the
+    member of least row; those that differ from it form the group of the next
+    round, until none is left, so no pairs of copies are expanded.
+    """
+    stored = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "copies")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    prints = stored.select("__row", F.xxhash64(text).alias("digest"), F.length(text).alias("n"))
+    least = prints.groupBy("digest", "n").agg(F.min("__row").alias("first"), F.count("*").alias("copies"))
+    exact = prints.join(least.where("copies > 1"), ["digest", "n"]).select(F.col("first").alias("a"), F.col("__row").alias("b")).where("a <> b")
+    exact = materialize(exact, "exact")
+    single = stored.join(exact.select(F.col("b").alias("__row")), "__row", "left_anti").select(F.col("__row").alias("row"), text.alias("text"))
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts = batch.column(1).to_pylist()
+        prints = [np.array([fingerprint(t, width), *sketches(t, width)], np.uint64).view(np.int64).tolist() for t in texts]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.list_(pa.int64()))], names=["row", "prints"])
+
+    coded = materialize(single.mapInArrow(in_slices(run), "row long, prints array<long>"), "sketches")
+    whole = coded.select("row", F.col("prints")[0].alias("fp"))
+    owners = whole.groupBy("fp").agg(F.min("row").alias("row"))
+    linked = links(whole.select("fp")).join(owners.select(F.col("fp").alias("a"), F.col("row").alias("ra")), "a").join(owners.select(F.col("fp").alias("b"), F.col("row").alias("rb")), "b")
+    linked = linked.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"))
+    groups = coded.select("row", F.posexplode("prints").alias("kind", "print"))
+    edges = None
+    for turn in range(1000):
+        heads = groups.groupBy("kind", "print").agg(F.min("row").alias("a"), F.count("*").alias("n")).where("n > 1")
+        members = materialize(groups.join(heads.drop("n"), ["kind", "print"]).where("row <> a").withColumnRenamed("row", "b"), "members")
+        pairs = members.select("a", "b")
+        pairs = (pairs.unionByName(linked) if turn == 0 else pairs).distinct()
+        good = materialize(_similar(single, pairs, width, similarity), "similar")
+        edges = good if edges is None else edges.unionByName(good)
+        groups = members.join(good, ["a", "b"], "left_anti").select(F.col("b").alias("row"), "kind", "print")
+        groups = materialize(groups, "rest")
+        if not groups.groupBy("kind", "print").count().where("count > 1").limit(1).count():
+            break
+    else:
+        raise RuntimeError("groups of sketches did not settle")
+    found = components(exact.unionByName(edges.select("a", "b")))
+    return stored, found.select(F.col("node").alias("__row"), F.col("root").alias("__root"))
+
+
+def drop_near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``docs`` with one document of each group of near copies: the first row of the group."""
+    stored, found = near_copies(docs, width, similarity)
+    return stored.join(found.where("__row <> __root").select("__row"), "__row", "left_anti").select(*docs.columns)
+
+
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
