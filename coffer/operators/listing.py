@@ -147,7 +147,7 @@ def refusals(entries: DataFrame, free_bytes: Column, password: bool = False, mar
         F.coalesce(F.bool_or(keep & ~F.col("is_directory") & (F.col("encryption") != "none")), F.lit(False)).alias("locked"),
         saturating_total(F.col("uncompressed_size")).cast("decimal(20,0)").alias("required"),
     )
-    found = found.withColumn("free", free_bytes).withColumn("budget", F.greatest(F.col("free") - margin, F.lit(0).cast("long")))
+    found = found.withColumn("free", free_bytes).withColumn("budget", F.when(F.col("free").isNotNull(), F.greatest(F.col("free") - margin, F.lit(0).cast("long"))))
     code = F.when(F.col("work") == 0, "emptyArchive").when(F.col("locked") & F.lit(not password), "passwordRequired").when(F.col("required") > F.col("budget"), "insufficientSpace")
     return found.select("path", "required", "budget", code.alias("error_code"))
 
