@@ -171,11 +171,13 @@ def sanitise(docs: DataFrame, disclosure: float = 0.8, removal: float = 0.95, mi
     The searched rows are written once, so that rows keep their number; without
     ``keep_text`` the text is not written.
     """
-    searched = find(docs).withColumn("row", F.monotonically_increasing_id()).withColumn("print", F.xxhash64(F.col("text").cast("string")))
+    searched = find(docs).withColumn("__row", F.monotonically_increasing_id()).withColumn("__print", F.xxhash64(F.col("text").cast("string")))
     searched = materialize(searched if keep_text else searched.drop("text"), "personal")
-    terms = disclosing_terms(docs, searched.select("row", "print", "__spans"), disclosure, removal, min_support)
+    found = searched.select(F.col("__row").alias("row"), F.col("__print").alias("print"), "__spans")
+    terms = disclosing_terms(docs, found, disclosure, removal, min_support).select(F.col("row").alias("__row"), F.col("terms").alias("__terms"))
     empty = F.array().cast("array<struct<start:int,end:int,removed:boolean>>")
-    return searched.join(terms, "row", "left").withColumn("__terms", F.coalesce("terms", empty)).drop("row", "print", "terms")
+    joined = searched.join(terms, "__row", "left").drop("__row", "__print")
+    return joined.withColumn("__terms", F.coalesce("__terms", empty))
 
 
 def masked(text: Column, spans: Column, terms: Column) -> Column:
