@@ -11,9 +11,11 @@ A string of ``length`` bytes that starts at two places is found in three steps.
 3. Different contexts of one anchor are compared in suffix order: previous and
    next smaller positions in the suffix array give each window's longest
    previous factor, next larger ones its longest next factor; a window repeats
-   where either reaches ``length``. Buckets of anchors have bounded size; the
-   windows of an anchor with very many different contexts are counted by
-   128-bit digests instead, spread over all tasks.
+   where either reaches ``length``. Buckets of anchors have bounded size. The
+   contexts of an anchor that has very many are split first: its windows by
+   their place around the anchor into two halves, each half by the bytes that
+   all its windows share; equal parts of contexts again count as one, and so on
+   until every group is small.
 
 Defined results: null text is empty; texts shorter than ``length`` lose
 nothing; repeated rows are copies of each other; null ids are carried; matches
@@ -39,17 +41,13 @@ ANCHOR = 40
 MOST_CONTEXTS, BUCKET_CONTEXTS = 1024, 2048
 
 
-def suffix_array(data: np.ndarray, reach: int | None = None) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Suffix order of ``data`` (bytes) by prefix doubling, and the ranks by the first 1, 2, 4... values.
-
-    With ``reach`` suffixes are ordered by that many values at least, equal ones
-    by place.
-    """
+def suffix_array(data: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Suffix order of ``data`` (bytes) by prefix doubling, and the ranks by the first 1, 2, 4... values."""
     n = len(data)
     rank = data.astype(np.int64) + 1
     levels, width = [rank], 1
     order = np.argsort(rank, kind="stable")
-    while n and width < (reach or n):
+    while width < n:
         shifted = np.zeros(n, np.int64)
         shifted[: n - width] = rank[width:]
         key = rank * (int(rank.max()) + 1) + shifted
@@ -101,23 +99,38 @@ def previous_factors(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return lpf, source
 
 
+def window_order(data: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """``starts`` in the suffix order of their ``length`` values, and whether each (from the second) equals the one before it.
+
+    Values are 0..256. Ranks of seven values double until two of them cover a
+    window.
+    """
+    n, width = len(data), min(7, length)
+    padded = np.concatenate([data.astype(np.int64), np.zeros(width, np.int64)])
+    key = padded[:n].copy()
+    for k in range(1, width):
+        key = key * 257 + padded[k : k + n]
+    while True:
+        order = np.argsort(key)
+        rank = np.empty(n, np.int64)
+        rank[order] = np.cumsum(np.concatenate([[1], (np.diff(key[order]) != 0).astype(np.int64)])) if n else order
+        if 2 * width >= length:
+            break
+        key = rank * (n + 1)
+        key[: n - width] += rank[width:]
+        width *= 2
+    # where the first ranks agree, the values up to the second rank do too
+    key = rank[starts] * (n + 1) + rank[starts + length - width]
+    order = np.argsort(key)
+    return starts[order], np.diff(key[order]) == 0
+
+
 def repeated_windows(data: np.ndarray, starts: np.ndarray, length: int, keep_first: bool) -> np.ndarray:
     """For each of ``starts`` whether its window's longest previous factor (or, unless ``keep_first``, next factor) among ``starts`` reaches ``length``.
 
     ``data`` holds separators below all else, which must not lie in a window.
     """
-    order, levels = suffix_array(data, length)
-    wanted = np.zeros(len(data), bool)
-    wanted[starts] = True
-    order = order[wanted[order]]
-    # neighbours in suffix order share ``length`` values where the ranks of a cover of it agree
-    same = np.ones(max(len(order) - 1, 0), bool)
-    at, left = 0, length
-    while left:
-        k = min(len(levels) - 1, left.bit_length() - 1)
-        rank = levels[k]
-        same &= rank[order[1:] + at] == rank[order[:-1] + at]
-        at, left = at + (1 << k), left - (1 << k)
+    order, same = window_order(data, starts, length)
     run = np.concatenate([[0], np.cumsum(~same)]) if len(order) else np.zeros(0, np.int64)
     # within a run of equal windows, least positions so far from the left and from the right
     # are the previous and next smaller positions' answer to "is there an earlier match"
@@ -182,11 +195,11 @@ def _anchors(rows: DataFrame, length: int) -> DataFrame:
         row, anchor, first, last, h, c = anchor_runs(_texts(batch.column(2)), length)
         take = pa.array(row)
         return pa.RecordBatch.from_arrays(
-            [pa.array(h.view(np.int64)), pa.array(c.view(np.int64)), batch.column(0).take(take), batch.column(1).take(take), *(pa.array(x.astype(np.int32)) for x in (first, last))],
-            names=["h", "c", "doc_id", "key", "first", "last"],
+            [pa.array(h.view(np.int64)), pa.array(c.view(np.int64)), batch.column(0).take(take), batch.column(1).take(take), *(pa.array(x.astype(np.int32)) for x in (first, last, anchor))],
+            names=["h", "c", "doc_id", "key", "first", "last", "anchor"],
         )
 
-    return rows.mapInArrow(in_slices(run), "h long, c long, doc_id long, key long, first int, last int")
+    return rows.mapInArrow(in_slices(run), "h long, c long, doc_id long, key long, first int, last int, anchor int")
 
 
 def _anchor_counts(rows: DataFrame, length: int) -> DataFrame:
@@ -230,23 +243,32 @@ def _compare(contexts: DataFrame, length: int, keep_first: bool) -> DataFrame:
     return contexts.groupBy("bucket").applyInArrow(run, "key long, start int, end int")
 
 
-def _count_windows(contexts: DataFrame, length: int, keep_first: bool) -> DataFrame:
-    """(key, start, end) removed bytes from contexts of very frequent anchors, by digests of their windows."""
+PART = "h long, c long, n long, doc_id long, key long, first int, last int, anchor int, low int, high int, context binary"
+
+
+def _halves(contexts: DataFrame, length: int) -> DataFrame:
+    """Each context twice: the windows with the anchor in either half of their offsets, keyed by the bytes those all share."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out: list[tuple] = []
-        for doc, key, first, text in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("doc_id", "key", "first", "context")), strict=True):
-            out += [(xxhash.xxh3_128_digest(text[i : i + length]), doc, key, first + i) for i in range(len(text) - length + 1)]
-        kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int32())
-        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["digest", "doc_id", "key", "at"])
-
-    windows = contexts.select("doc_id", "key", "first", "context").mapInArrow(in_slices(run, "context"), "digest binary, doc_id long, key long, at int")
-    place = F.struct("doc_id", "key", "at")
-    sums = windows.groupBy("digest").agg(F.count("*").alias("n"), F.min(place).alias("earliest")).where("n > 1")
-    hits = windows.join(sums, "digest")
-    if keep_first:
-        hits = hits.where(place != F.col("earliest"))
-    return hits.select("key", F.col("at").alias("start"), (F.col("at") + length).alias("end"))
+        out = []
+        for r in batch.select(["h", "n", "doc_id", "key", "first", "last", "anchor", "low", "high", "context"]).to_pylist():
+            mid = (r["low"] + r["high"] + 1) // 2
+            for low, high in ((r["low"], mid - 1), (mid, r["high"])):
+                # a window with the anchor at offset o starts o bytes before it
+                first, last = max(r["first"], r["anchor"] - high), min(r["last"], r["anchor"] - low)
+                if low > high or first > last:
+                    continue
+                text, base, anchor = r["context"], r["first"], r["anchor"] - r["first"]
+                shared = text[anchor - low : anchor - high + length]
+                part = text[first - base : last - base + length]
+                h = xxhash.xxh3_64_intdigest(shared, r["h"] % 2**64 ^ low << 32 ^ high)
+                c = xxhash.xxh3_64_intdigest(part, (r["anchor"] - first) << 16 ^ (last - first))
+                out.append((h - (h >> 63 << 64), c - (c >> 63 << 64), r["n"], r["doc_id"], r["key"], first, last, r["anchor"], low, high, part))
+        types = (*[pa.int64()] * 5, *[pa.int32()] * 5, pa.binary())
+        names = [x.split()[0] for x in PART.split(", ")]
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)], names=names) if out else None
+
+    return contexts.mapInArrow(in_slices(run, "context"), PART)
 
 
 def removed_spans(docs: DataFrame, length: int = 200, keep_first: bool = False) -> DataFrame:
@@ -258,31 +280,50 @@ def removed_spans(docs: DataFrame, length: int = 200, keep_first: bool = False)
     several = _anchor_counts(rows, length)
     found = materialize(_anchors(rows, length).join(several, "h", "left_semi"), "anchors")
     place = F.struct("doc_id", "key", "first", "last")
-    kinds = materialize(found.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(place).alias("rep")), "contexts")
-
-    whole = found.join(kinds.where("n > 1").select("h", "c", "rep"), ["h", "c"])
-    if keep_first:
-        whole = whole.where(place != F.col("rep"))
-    whole = whole.select("key", F.col("first").alias("start"), (F.col("last") + length).alias("end"))
-
-    mixed = kinds.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1")
-    reps = kinds.join(mixed, "h").select("h", "kinds", "n", "rep.doc_id", "rep.key", "rep.first", "rep.last")
-    asked = reps.groupBy("key").agg(F.collect_list(F.struct("h", "kinds", "n", "doc_id", "first", "last")).alias("asked"))
+    # equal contexts have their anchor at one place after their first window
+    whole = F.min(F.struct("doc_id", "key", "first", "last", "anchor"))
+    kinds = found.groupBy("h", "c").agg(F.count("*").alias("n"), whole.alias("rep"))
+    kinds = materialize(kinds.select("h", "c", "n", "rep.anchor", F.struct("rep.doc_id", "rep.key", "rep.first", "rep.last").alias("rep")), "contexts")
+
+    def repeats(rows: DataFrame, classes: DataFrame) -> DataFrame:
+        """Removed bytes of the rows whose whole part occurs more than once."""
+        hit = rows.join(classes.where("n > 1").select("h", "c", "rep"), ["h", "c"])
+        if keep_first:
+            hit = hit.where(place != F.col("rep"))
+        return hit.select("key", F.col("first").alias("start"), (F.col("last") + length).alias("end"))
+
+    def several_kinds(classes: DataFrame) -> DataFrame:
+        """(h, kinds) of the anchors that have different contexts."""
+        return classes.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1")
+
+    spans = repeats(found, kinds)
+    reps = kinds.join(several_kinds(kinds), "h").select("h", "kinds", "n", "rep.doc_id", "rep.key", "rep.first", "rep.last", "anchor")
+    asked = reps.groupBy("key").agg(F.collect_list(F.struct("h", "kinds", "n", "doc_id", "first", "last", "anchor")).alias("asked"))
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         out = []
         for key, text, wanted in zip(batch.column(0).to_pylist(), _texts(batch.column(1)), batch.column(2).to_pylist(), strict=True):
-            out += [(w["h"], w["kinds"], w["n"], w["doc_id"], key, w["first"], w["last"], text[w["first"] : w["last"] + length]) for w in wanted]
-        types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)], names=["h", "kinds", "n", "doc_id", "key", "first", "last", "context"]) if out else None
+            out += [(w["h"], w["kinds"], w["n"], w["doc_id"], key, w["first"], w["last"], w["anchor"], text[w["first"] : w["last"] + length]) for w in wanted]
+        types = (*[pa.int64()] * 5, *[pa.int32()] * 3, pa.binary())
+        names = ["h", "kinds", "n", "doc_id", "key", "first", "last", "anchor", "context"]
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)], names=names) if out else None
 
-    texts = rows.join(asked, "key").select("key", "text", "asked").mapInArrow(in_slices(cut), "h long, kinds long, n long, doc_id long, key long, first int, last int, context binary")
+    texts = rows.join(asked, "key").select("key", "text", "asked").mapInArrow(in_slices(cut), "h long, kinds long, n long, doc_id long, key long, first int, last int, anchor int, context binary")
     # repeated rows have one key and give one context
-    contexts = materialize(texts.groupBy("h", "kinds", "n", "doc_id", "key", "first", "last").agg(F.first("context").alias("context")), "texts")
-    buckets = -(-contexts.count() // BUCKET_CONTEXTS) or 1
-    usual = contexts.where(F.col("kinds") <= MOST_CONTEXTS).withColumn("bucket", F.pmod(F.xxhash64("h"), F.lit(buckets)))
-    frequent = contexts.where(F.col("kinds") > MOST_CONTEXTS)
-    spans = whole.unionByName(_compare(usual, length, keep_first)).unionByName(_count_windows(frequent, length, keep_first))
+    contexts = texts.groupBy("h", "kinds", "n", "doc_id", "key", "first", "last", "anchor").agg(F.first("context").alias("context"))
+    contexts = materialize(contexts.withColumn("low", F.lit(0)).withColumn("high", F.lit(length - ANCHOR)), "texts")
+    while True:
+        sizes = contexts.agg(F.count_if(F.col("kinds") <= MOST_CONTEXTS).alias("usual"), F.count_if(F.col("kinds") > MOST_CONTEXTS).alias("frequent")).first()
+        buckets = -(-sizes.usual // BUCKET_CONTEXTS) or 1
+        usual = contexts.where(F.col("kinds") <= MOST_CONTEXTS).withColumn("bucket", F.pmod(F.xxhash64("h"), F.lit(buckets)))
+        spans = spans.unionByName(_compare(usual, length, keep_first))
+        if not sizes.frequent:
+            break
+        halves = materialize(_halves(contexts.where(F.col("kinds") > MOST_CONTEXTS), length), "halves")
+        classes = materialize(halves.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(place).alias("rep")), "contexts")
+        spans = spans.unionByName(repeats(halves, classes))
+        kept = halves.join(classes.select("h", "c", "rep"), ["h", "c"]).where(place == F.col("rep"))
+        contexts = materialize(kept.drop("c", "rep").join(several_kinds(classes), "h"), "texts")
     return spans.groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
 
