@@ -19,6 +19,7 @@ component (null if there is none); an empty table gives an empty result; only
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
@@ -27,10 +28,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coffer.llm.common import _TABLE, gram_hash, in_slices, materialize, mix, prefix_hash, span_hash, table
+from coffer.llm.common import _TABLE, drop_table, gram_hash, in_slices, materialize, mix, prefix_hash, span_hash, table
 
 #: Sketches of a text for copies that differ in more than a few places, and shingles in each.
 SKETCHES, SKETCH_SHINGLES = 12, 4
+#: Bins of the signature that estimates a similarity, the least estimate that is verified, and members compared in one task at most.
+BINS, ESTIMATE, MEMBERS = 128, 0.65, 4096
 
 
 def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
@@ -133,7 +136,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         hooked = small.select(F.col("u").alias("b"), F.col("m").alias("a")).unionByName(
             small.where("v <> m").select(F.col("v").alias("b"), F.col("m").alias("a"))
         )
-        pairs = materialize(hooked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "edges")
+        done, pairs = pairs, materialize(hooked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "edges")
+        drop_table(done)
         now = pairs.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == state:
             break
@@ -173,14 +177,13 @@ def _majority(h: np.ndarray) -> int:
     return int(np.packbits(bits, bitorder="little").view("<u8")[0])
 
 
-def sketches(text: str | None, width: int = 5) -> list[int]:
-    """SimHash fingerprints of small shingle samples: for each salt those with the least salted hashes.
+def sketches(own: np.ndarray) -> list[int]:
+    """SimHash fingerprints of small samples of a shingle set: for each salt those with the least salted hashes.
 
     Two texts of similarity J draw one whole sample alike with a chance of
     about ``J ** SKETCH_SHINGLES``, and meet in one of ``SKETCHES`` almost surely
     from 0.8 on.
     """
-    own = shingle_set(text, width)
     if not len(own):
         return []
     out = []
@@ -207,14 +210,98 @@ def _similar(rows: DataFrame, pairs: DataFrame, width: int, similarity: float) -
     return both.select("a", "b", "text", "other").mapInArrow(in_slices(run), "a long, b long")
 
 
+def signature(shingles: np.ndarray) -> bytes:
+    """One-permutation MinHash: the 16 low bits of the least hash in each of ``BINS`` bins, 0 for an empty bin."""
+    h = np.sort(mix(shingles))  # by bin, as the high bits choose it, then by hash
+    where = (h >> np.uint64(64 - BINS.bit_length() + 1)).astype(np.int64)
+    first = np.concatenate([[True], np.diff(where) != 0])[: len(h)]
+    out = np.zeros(BINS, "<u2")
+    out[where[first]] = np.maximum(h[first] & np.uint64(0xFFFF), 1)
+    return out.tobytes()
+
+
+def spanning_pairs(rows: np.ndarray, signatures: np.ndarray, forests: int = 2) -> list[tuple[int, int]]:
+    """Pairs of rows that hold a group together at any similarity: edge-disjoint maximum spanning forests.
+
+    ``signatures`` is (rows, BINS). A pair's weight is the share of bins filled
+    in either text that agree; pairs below ``ESTIMATE`` do not count. A maximum
+    spanning forest keeps the connections that all pairs above a threshold
+    would make; the second one makes up for errors of the estimate.
+    """
+    n, out, used = len(rows), [], set()
+    filled = signatures > 0
+    for _ in range(forests if n > 2 else 1):
+        best, source, free = np.full(n, -1.0), np.zeros(n, np.int64), np.ones(n, bool)
+        for _ in range(n):
+            at = int(np.argmax(np.where(free, best, -2.0)))
+            if best[at] >= ESTIMATE:
+                pair = (min(at, int(source[at])), max(at, int(source[at])))
+                used.add(pair)
+                out.append((int(min(rows[pair[0]], rows[pair[1]])), int(max(rows[pair[0]], rows[pair[1]]))))
+            free[at] = False
+            either = (filled | filled[at]).sum(axis=1)
+            weight = ((signatures == signatures[at]) & filled).sum(axis=1) / np.maximum(either, 1)
+            for a, b in used:
+                if at in (a, b):
+                    weight[b if at == a else a] = -1.0
+            closer = free & (weight > best)
+            best[closer], source[closer] = weight[closer], at
+    return out
+
+
+def _spanning(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Groups of rows sorted by (kind, print, low, high): their spanning pairs."""
+    held: list[pa.RecordBatch] = []
+
+    def pairs_of(part: pa.Table, keys: np.ndarray) -> pa.RecordBatch:
+        rows, prints = part["row"].to_numpy(), np.frombuffer(b"".join(part["signature"].to_pylist()), "<u2").reshape(-1, BINS)
+        edges = np.concatenate([[0], np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1, [len(rows)]])
+        found = [p for a, b in zip(edges, edges[1:], strict=False) if b - a > 1 for p in spanning_pairs(rows[a:b], prints[a:b])]
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        part = pa.Table.from_batches([*held, batch]).combine_chunks()
+        keys = np.stack([part[k].to_numpy() for k in ("kind", "print", "low", "high")], axis=1)
+        last = np.flatnonzero((keys != keys[-1]).any(axis=1))
+        cut = int(last[-1]) + 1 if len(last) else 0  # the last group may go on in the next batch
+        if cut:
+            yield pairs_of(part.slice(0, cut), keys[:cut])
+        held = part.slice(cut).to_batches()
+    if held:
+        part = pa.Table.from_batches(held).combine_chunks()
+        yield pairs_of(part, np.stack([part[k].to_numpy() for k in ("kind", "print", "low", "high")], axis=1))
+
+
+def sketch_pairs(coded: DataFrame) -> DataFrame:
+    """Candidate pairs (a, b) of rows that share a sketch: the spanning pairs of each group of equal sketches.
+
+    Groups of more than ``MEMBERS`` rows are dealt in blocks, every two of which
+    meet in one task.
+    """
+    groups = coded.select("row", F.posexplode("sketches").alias("kind", "print"))
+    sizes = materialize(groups.groupBy("kind", "print").agg(F.count("*").alias("n")).where("n > 1"), "groups")
+    members = materialize(groups.join(sizes, ["kind", "print"]), "members")
+    blocks = F.ceil(F.col("n") * 2 / MEMBERS).cast("int")
+    own = F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int")
+    dealt = members.withColumn("blocks", blocks).withColumn("own", own)
+    others = F.when(F.col("blocks") <= 2, F.array(F.struct(F.lit(0).alias("low"), F.lit(0).alias("high")))).otherwise(
+        F.transform(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: j != F.col("own")), lambda j: F.struct(F.least(j, F.col("own")).alias("low"), F.greatest(j, F.col("own")).alias("high")))
+    )
+    dealt = dealt.withColumn("o", F.explode(others)).select("row", "kind", "print", "o.low", "o.high")
+    dealt = dealt.join(coded.select("row", "signature"), "row")
+    keys = ["kind", "print", "low", "high"]
+    return dealt.repartition(*keys).sortWithinPartitions(*keys, "row").mapInArrow(_spanning, "a long, b long").distinct()
+
+
 def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> tuple[DataFrame, DataFrame]:
     """``docs`` with a stable ``__row``, and (__row, __root) of every row that has copies.
 
     Exact copies collapse first. Candidates are the links of whole-text
-    fingerprints and equal sketches; each is verified by the similarity of the
-    shingle sets. In a group of equal sketches every member is held against the
-    member of least row; those that differ from it form the group of the next
-    round, until none is left, so no pairs of copies are expanded.
+    fingerprints and the spanning pairs of groups of equal sketches, so that no
+    pairs of a large group are expanded; each candidate is verified by the
+    similarity of the shingle sets.
     """
     stored = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "copies")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -226,30 +313,17 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> tup
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = batch.column(1).to_pylist()
-        prints = [np.array([fingerprint(t, width), *sketches(t, width)], np.uint64).view(np.int64).tolist() for t in texts]
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.list_(pa.int64()))], names=["row", "prints"])
-
-    coded = materialize(single.mapInArrow(in_slices(run), "row long, prints array<long>"), "sketches")
-    whole = coded.select("row", F.col("prints")[0].alias("fp"))
-    owners = whole.groupBy("fp").agg(F.min("row").alias("row"))
-    linked = links(whole.select("fp")).join(owners.select(F.col("fp").alias("a"), F.col("row").alias("ra")), "a").join(owners.select(F.col("fp").alias("b"), F.col("row").alias("rb")), "b")
-    linked = linked.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"))
-    groups = coded.select("row", F.posexplode("prints").alias("kind", "print"))
-    edges = None
-    for turn in range(1000):
-        heads = groups.groupBy("kind", "print").agg(F.min("row").alias("a"), F.count("*").alias("n")).where("n > 1")
-        members = materialize(groups.join(heads.drop("n"), ["kind", "print"]).where("row <> a").withColumnRenamed("row", "b"), "members")
-        pairs = members.select("a", "b")
-        pairs = (pairs.unionByName(linked) if turn == 0 else pairs).distinct()
-        good = materialize(_similar(single, pairs, width, similarity), "similar")
-        edges = good if edges is None else edges.unionByName(good)
-        groups = members.join(good, ["a", "b"], "left_anti").select(F.col("b").alias("row"), "kind", "print")
-        groups = materialize(groups, "rest")
-        if not groups.groupBy("kind", "print").count().where("count > 1").limit(1).count():
-            break
-    else:
-        raise RuntimeError("groups of sketches did not settle")
-    found = components(exact.unionByName(edges.select("a", "b")))
+        fps = pa.array(np.array([fingerprint(t, width) for t in texts], np.uint64).view(np.int64))
+        sets = [shingle_set(t, width) for t in texts]
+        drawn = pa.array([np.array(sketches(s), np.uint64).view(np.int64).tolist() for s in sets], pa.list_(pa.int64()))
+        return pa.RecordBatch.from_arrays([batch.column(0), fps, drawn, pa.array([signature(s) for s in sets], pa.binary())], names=["row", "fp", "sketches", "signature"])
+
+    coded = materialize(single.mapInArrow(in_slices(run), "row long, fp long, sketches array<long>, signature binary"), "sketches")
+    owners = coded.groupBy("fp").agg(F.min("row").alias("row"))
+    linked = links(coded.select("fp")).join(owners.select(F.col("fp").alias("a"), F.col("row").alias("ra")), "a").join(owners.select(F.col("fp").alias("b"), F.col("row").alias("rb")), "b")
+    pairs = linked.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).unionByName(sketch_pairs(coded)).distinct()
+    edges = materialize(_similar(single, materialize(pairs, "pairs"), width, similarity), "similar")
+    found = components(exact.unionByName(edges))
     return stored, found.select(F.col("node").alias("__row"), F.col("root").alias("__root"))
 
 
