@@ -63,32 +63,49 @@ def number_duplicates(entries: DataFrame) -> DataFrame:
     return files.select("path", "entry_index", "original").join(simple.unionByName(hard), ["path", "entry_index"])
 
 
+def _claim(group: pd.DataFrame) -> list[str]:
+    """Final names of one family in the order of its rows."""
+    held = set()
+    for names in group["claimed"]:
+        held.update(names if names is not None else ())
+    final = []
+    for name in group["name"]:
+        n, out = 2, name
+        while out in held:
+            out, n = numbered_name(name, n), n + 1
+        held.add(out)
+        final.append(out)
+    return final
+
+
+def _families(tops: DataFrame, existing: DataFrame) -> DataFrame:
+    bare = F.regexp_replace(N.stem(F.col("name")), r"( [0-9]+)+$", "")
+    family = F.concat_ws("\u0000", bare, N.extension(F.col("name")))
+    claimed = existing.select("name").distinct().withColumn("family", family).groupBy("family").agg(F.array_sort(F.collect_list("name")).alias("claimed"))
+    return tops.select("path", F.col("top").alias("name")).withColumn("family", family).join(claimed, "family", "left")
+
+
 def top_level_renames(tops: DataFrame, existing: DataFrame) -> DataFrame:
-    """(path, top, final): top-level names made unique against ``existing`` (name) and each other, in sorted order.
+    """(path, top, final): each archive's top-level names made unique against ``existing`` (name) and each other, in sorted order.
 
     Names compare exactly. Families go as in :func:`number_duplicates`, with the
     existing names claimed first.
     """
-    names = tops.select("path", F.col("top").alias("name"), F.lit(1).alias("new"))
-    taken = existing.select("name").distinct()
-    bare = F.regexp_replace(N.stem(F.col("name")), r"( [0-9]+)+$", "")
-    family = F.concat_ws("\u0000", bare, N.extension(F.col("name")))
-    claimed = taken.withColumn("family", family).groupBy("family").agg(F.array_sort(F.collect_list("name")).alias("claimed"))
-    rows = names.withColumn("family", family).join(claimed, "family", "left")
 
     def assign(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("name")
-        held = set()
-        for names in group["claimed"]:
-            held.update(names if names is not None else ())
-        final = []
-        for name in group["name"]:
-            n, out = 2, name
-            while out in held:
-                out, n = numbered_name(name, n), n + 1
-            held.add(out)
-            final.append(out)
-        return pd.DataFrame({"path": group["path"], "top": group["name"], "final": final})
+        return pd.DataFrame({"path": group["path"], "top": group["name"], "final": _claim(group)})
+
+    kind = dict(tops.dtypes)["path"]
+    return _families(tops, existing).groupBy("path", "family").applyInPandas(assign, f"path {kind}, top string, final string")
+
+
+def shared_renames(tops: DataFrame, existing: DataFrame) -> DataFrame:
+    """Like :func:`top_level_renames` for archives that share one destination: names are claimed in order of archive."""
+
+    def assign(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["path", "name"])
+        return pd.DataFrame({"path": group["path"], "top": group["name"], "final": _claim(group)})
 
     kind = dict(tops.dtypes)["path"]
-    return rows.groupBy("path", "family").applyInPandas(assign, f"path {kind}, top string, final string")
+    return _families(tops, existing).groupBy("family").applyInPandas(assign, f"path {kind}, top string, final string")
