@@ -26,12 +26,11 @@ def shared_dir(spark: SparkSession) -> str:
     Only where the session names none (unit tests on one machine) a temporary
     folder is made and kept in the session's configuration.
     """
-    key = "spark.checkpoint.dir"
-    found = spark.conf.get(key, None) or spark.sparkContext.getConf().get(key)
+    key, own = "spark.checkpoint.dir", "spark.coffer.dir"
+    found = spark.conf.get(key, None) or spark.sparkContext.getConf().get(key) or spark.conf.get(own, None)
     if not found:
         found = tempfile.mkdtemp(prefix="coffer-")
-        spark.conf.set("spark.coffer.dir", found)
-        spark.conf.set(key, found)
+        spark.conf.set(own, found)
     return found.rstrip("/")
 
 
