@@ -18,7 +18,7 @@ exclusive.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from coffer.llm.common import materialize, table
@@ -131,8 +131,8 @@ def find(docs: DataFrame) -> DataFrame:
 
 def _nearby(found: DataFrame) -> DataFrame:
     """(row, print, entity, term, start, end): terms near each base span, outside all base spans, whole."""
-    m = found.where(F.size("__spans") > 0).select("row", "print", F.col("__spans").alias("all"), F.explode("__spans").alias("s"))
-    m = m.select("row", "print", "all", F.concat_ws(":", "s.kind", "s.value").alias("entity"), F.explode(F.array(
+    spans = found.select("row", "print", F.explode("__spans").alias("s"))
+    m = spans.select("row", "print", F.concat_ws(":", "s.kind", "s.value").alias("entity"), F.explode(F.array(
         F.struct(F.col("s.left_at").alias("at"), F.col("s.left").alias("part"), F.lit(True).alias("is_left")),
         F.struct(F.col("s.end").alias("at"), F.col("s.right").alias("part"), F.lit(False).alias("is_left")),
     )).alias("c"))
@@ -140,8 +140,16 @@ def _nearby(found: DataFrame) -> DataFrame:
     # a term cut by the edge of the reach may not be whole
     whole = F.when(F.col("c.is_left"), (F.col("t.start") > 0) | (F.col("c.at") == 0)).otherwise(F.col("t.end") < REACH)
     start, end = F.col("c.at") + F.col("t.start"), F.col("c.at") + F.col("t.end")
-    m = m.where(whole).select("row", "print", "all", "entity", F.lower("t.value").alias("term"), start.alias("start"), end.alias("end"))
-    return m.where(~F.exists("all", lambda s: (s.start < F.col("end")) & (F.col("start") < s.end))).drop("all").distinct()
+    terms = m.where(whole).select("row", "print", "entity", F.lower("t.value").alias("term"), start.alias("start"), end.alias("end")).distinct()
+    # spans and terms of a row in one order: a term is free if no earlier span reaches it and none starts in it
+    taken = spans.select("row", F.col("s.start").alias("start"), F.col("s.end").alias("span_end"))
+    both = terms.unionByName(taken, allowMissingColumns=True)
+    before = Window.partitionBy("row").orderBy("start").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    after = Window.partitionBy("row").orderBy(F.desc("start")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    span_start = F.when(F.col("span_end").isNotNull(), F.col("start"))
+    both = both.withColumn("reached", F.max("span_end").over(before)).withColumn("next", F.min(span_start).over(after))
+    free = (F.coalesce("reached", F.lit(0)) <= F.col("start")) & (F.coalesce("next", F.col("end")) >= F.col("end"))
+    return both.where(F.col("span_end").isNull() & free).select("row", "print", "entity", "term", "start", "end")
 
 
 def disclosing_terms(docs: DataFrame, found: DataFrame, disclosure: float, removal: float, min_support: int) -> DataFrame:
