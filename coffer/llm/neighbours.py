@@ -5,14 +5,15 @@ query walks the tree through a priority queue by distance to the centroids and
 visits leaves in that order. How many leaves is calibrated: for a sample of
 queries the true neighbours are found by brute force over all rows, and visits
 widen until the wanted recall is reached (and until enough rows are visited).
-Leaf members and visiting queries meet in (leaf, block) groups of bounded size,
-so a very common vector spreads over many tasks.
+Leaf members and visiting queries meet in (leaf, block) groups of bounded size.
+Equal vectors are one class throughout: all its rows lie at one distance, so
+only its smallest ids can be among the nearest, and its queries are asked once.
 
 Defined results: vectors that are null, zero, of another than the usual length,
 or that hold null or non-finite components take no part; rows with null ids
 take no part; rows that share the query's id are its own; the same id and
-distance is returned once; an empty table gives an empty result; other columns
-are not read.
+distance is returned once, and an id on several vectors is several rows; an
+empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -29,10 +30,10 @@ from pyspark.sql import functions as F
 
 from coffer.llm.common import materialize, table
 
-#: Rows that the tree is fitted on, queries that the visits are calibrated on, at most.
+#: Classes that the tree is fitted on, queries that the visits are calibrated on, at most.
 SAMPLE, CALIBRATION = 20_000, 150
 BRANCHING, LEAF_SAMPLE = 8, 32
-#: Members of one (leaf, block) group, about.
+#: Classes in one (leaf, block) group, about.
 BLOCK_ROWS = 4096
 TARGET_RECALL = 0.97
 
@@ -147,8 +148,19 @@ def _top(rows: DataFrame, k: int) -> DataFrame:
     return ranked.where(F.col("rank") <= k)
 
 
+def classes_of(rows: DataFrame, k: int) -> DataFrame:
+    """(embedding, ids): each different vector once, with its ``k`` smallest ids in order.
+
+    The rank limit works before the shuffle too, so a very common vector sends
+    ``k`` rows from each task.
+    """
+    smallest = Window.partitionBy("embedding").orderBy("vec_id")
+    ranked = rows.dropDuplicates(["vec_id", "embedding"]).withColumn("place", F.row_number().over(smallest)).where(F.col("place") <= k)
+    return ranked.groupBy("embedding").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
+
+
 def brute_force(rows: DataFrame, dim: int, queries: np.ndarray, query_ids: np.ndarray, k: int) -> DataFrame:
-    """(query_id, rank, vec_id, score) of a bounded set of queries against all rows, in blocks."""
+    """(query_id, rank, vec_id, score) of a bounded set of queries against all rows (vec_id, embedding), in blocks."""
     known = rows.sparkSession.sparkContext.broadcast((queries, query_ids))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,14 +177,18 @@ def brute_force(rows: DataFrame, dim: int, queries: np.ndarray, query_ids: np.nd
     return _top(rows.select("vec_id", "embedding").mapInArrow(run, "query_id long, vec_id long, score double"), k)
 
 
-def calibrate(rows: DataFrame, dim: int, tree: Tree, k: int, every: int, target: float, most: int) -> tuple[int, float]:
-    """The number of leaf visits whose recall over a sample of queries reaches ``target``; and that recall."""
-    picked = rows.where(F.pmod("vec_id", F.lit(every)) == 0).orderBy(F.xxhash64("vec_id"), "vec_id").limit(most).collect()
+def calibrate(placed: DataFrame, dim: int, tree: Tree, k: int, every: int, target: float, most: int) -> tuple[int, float]:
+    """The number of leaf visits whose recall over a sample of queries reaches ``target``; and that recall.
+
+    Truth are the ``k`` nearest other classes of each query's own.
+    """
+    picked = placed.where(F.exists("ids", lambda i: F.pmod(i, F.lit(every)) == 0)).orderBy(F.xxhash64("class"), "class").limit(most).collect()
     if not picked:
         return 1, 1.0
-    queries, ids = np.array([r.embedding for r in picked]), np.array([r.vec_id for r in picked])
-    truth = brute_force(rows, dim, queries, ids, k).join(rows.select("vec_id", "leaf"), "vec_id").select("query_id", "leaf").collect()
-    places = {int(i): {leaf: n for n, leaf in enumerate(tree.order(q))} for i, q in zip(ids, queries, strict=True)}
+    queries, own = np.array([r.embedding for r in picked]), np.array([r["class"] for r in picked])
+    rows = placed.select(F.col("class").alias("vec_id"), "embedding", "leaf")
+    truth = brute_force(rows, dim, queries, own, k).join(rows.select("vec_id", "leaf"), "vec_id").select("query_id", "leaf").collect()
+    places = {int(i): {leaf: n for n, leaf in enumerate(tree.order(q))} for i, q in zip(own, queries, strict=True)}
     needed = np.sort([places[r.query_id][r.leaf] for r in truth]) + 1
     if not len(needed):
         return 1, 1.0
@@ -187,7 +203,9 @@ def search(vectors: DataFrame, k: int = 10, every: int = 100, target: float = TA
     """(query_id, rank, vec_id, score): the nearest rows found for every row whose id is divisible by ``every``."""
     spark = vectors.sparkSession
     rows, dim = usable(vectors)
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("embedding").collect()
+    # one id more than asked for: a query's own is taken out at the end
+    classes = materialize(classes_of(rows, k + 1).withColumn("class", F.monotonically_increasing_id()), "classes")
+    sample = classes.orderBy(F.xxhash64("embedding"), "class").limit(SAMPLE).select("embedding").collect()
     if not sample:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     tree = fit_tree(np.array([r.embedding for r in sample]))
@@ -196,9 +214,9 @@ def search(vectors: DataFrame, k: int = 10, every: int = 100, target: float = TA
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             leaf = known.value.assign(_vectors(batch.column(1), dim)) if batch.num_rows else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaf)], names=["vec_id", "embedding", "leaf"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaf)], names=["class", "embedding", "ids", "leaf"])
 
-    placed = materialize(rows.mapInArrow(assign, "vec_id long, embedding array<double>, leaf long"), "leaves")
+    placed = materialize(classes.select("class", "embedding", "ids").mapInArrow(assign, "class long, embedding array<double>, ids array<long>, leaf long"), "leaves")
     visits, _ = calibrate(placed, dim, tree, k, every, target, CALIBRATION)
     held = {r.leaf: r["count"] for r in placed.groupBy("leaf").count().collect()}  # one row for each leaf of the tree
     blocks = {leaf: -(-n // BLOCK_ROWS) for leaf, n in held.items()}
@@ -207,33 +225,45 @@ def search(vectors: DataFrame, k: int = 10, every: int = 100, target: float = TA
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, blocks = sizes.value
         for batch in batches:
-            ids, leaves, parts = [], [], []
+            at, leaves, parts = [], [], []
             for i, q in enumerate(_vectors(batch.column(1), dim)):
                 seen = 0
                 for n, leaf in enumerate(known.value.order(q)):
-                    # repeated rows of the query's own id are not candidates: a leaf more than enough rows need
                     if n >= visits and seen > 2 * k:
                         break
                     seen += held.get(leaf, 0)
                     for part in range(blocks.get(leaf, 0)):
-                        ids.append(i)
+                        at.append(i)
                         leaves.append(leaf)
                         parts.append(part)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ids, pa.int64())), batch.column(1).take(pa.array(ids, pa.int64())), pa.array(leaves, pa.int64()), pa.array(parts, pa.int64())], names=["query_id", "embedding", "leaf", "block"])
+            take = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(leaves, pa.int64()), pa.array(parts, pa.int64())], names=["class", "embedding", "leaf", "block"])
 
-    asked = placed.where(F.pmod("vec_id", F.lit(every)) == 0).select("vec_id", "embedding").mapInArrow(visit, "query_id long, embedding array<double>, leaf long, block long")
+    queries = rows.where(F.pmod("vec_id", F.lit(every)) == 0).join(classes.select("embedding", "class"), "embedding").select(F.col("vec_id").alias("query_id"), "class")
+    queries = materialize(queries.distinct(), "queries")
+    asked = placed.join(queries.select("class").distinct(), "class", "left_semi").select("class", "embedding").mapInArrow(visit, "class long, embedding array<double>, leaf long, block long")
     numbers = spark.createDataFrame(list(blocks.items()), "leaf long, blocks long")  # bounded by the tree
-    members = placed.join(F.broadcast(numbers), "leaf").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")))
+    members = placed.join(F.broadcast(numbers), "leaf").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")))
 
     def meet(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        if not len(queries) or not len(rows):
-            return pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
-        q_ids = queries["query_id"].to_numpy(np.int64)
-        found = list(exact_nearest(np.stack(queries["embedding"]), q_ids, np.stack(rows["embedding"]), rows["vec_id"].to_numpy(np.int64), k))
-        return pd.DataFrame({"query_id": np.repeat(q_ids, [len(i) for i, _ in found]), "vec_id": np.concatenate([i for i, _ in found]), "score": np.concatenate([d for _, d in found])})
-
-    pairs = asked.groupBy("leaf", "block").cogroup(members.select("vec_id", "embedding", "leaf", "block").groupBy("leaf", "block")).applyInPandas(meet, RESULT)
-    return _top(pairs, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+        out = []
+        if len(queries) and len(rows):
+            # in order of their smallest ids, so that places decide ties
+            rows = rows.iloc[np.argsort([i[0] for i in rows["ids"]], kind="stable")]
+            ids = rows["ids"].tolist()
+            near = exact_nearest(np.stack(queries["embedding"]), np.full(len(queries), -1), np.stack(rows["embedding"]), np.arange(len(rows)), k + 1)
+            for own, (at, distance) in zip(queries["class"], near, strict=True):
+                found = np.concatenate([ids[i] for i in at])
+                far = np.repeat(distance, [len(ids[i]) for i in at])
+                best = np.lexsort((found, far))[: k + 1]
+                out.append((np.full(len(best), own, np.int64), found[best], far[best]))
+        columns = [np.concatenate(c) for c in zip(*out, strict=True)] or [np.zeros(0, t) for t in (np.int64, np.int64, float)]
+        return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), columns, strict=True)))
+
+    pairs = asked.groupBy("leaf", "block").cogroup(members.select("class", "embedding", "ids", "leaf", "block").groupBy("leaf", "block")).applyInPandas(meet, RESULT)
+    nearest = _top(pairs, k + 1).select(F.col("query_id").alias("class"), "vec_id", "score")
+    answers = queries.join(nearest, "class").where("vec_id <> query_id").select("query_id", "vec_id", "score")
+    return _top(answers, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
