@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Texts of one Arrow batch are handled in slices of about this many bytes.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -79,14 +79,14 @@ def texts_of(column: pa.Array | pa.ChunkedArray) -> list[str]:
     return [x or "" for x in column.to_pylist()]
 
 
-def in_slices(fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], text: str = "text"):
-    """A ``mapInArrow`` function that applies ``fn`` to slices bounded by text bytes."""
+def in_slices(fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], text: str = "text", row_bytes: int = 0):
+    """A ``mapInArrow`` function that applies ``fn`` to slices bounded by text bytes, each row counting ``row_bytes`` at least."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = batch.column(batch.schema.get_field_index(text))
             sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(column), 0))
-            for a, b in slices(sizes):
+            for a, b in slices(np.maximum(sizes, row_bytes)):
                 out = fn(batch.slice(a, b - a))
                 if out is not None and out.num_rows:
                     yield out

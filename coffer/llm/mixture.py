@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from coffer.llm.common import materialize, slices, table
 from coffer.llm.tokens import word_bpe_path, word_ids
 
-TOKENIZE_BYTES = 16 << 20
+TOKENIZE_BYTES = 8 << 20
 #: Tables of this many rows (some tens of bytes each) or fewer are broadcast; larger ones are joined by shuffle.
 BROADCAST_ROWS = 200_000
 

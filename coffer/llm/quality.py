@@ -28,6 +28,8 @@ from coffer.llm.labelled import sample_labels, with_labels
 
 #: Labelled documents of each class in the space at most, hashed features, axes, voters.
 PER_CLASS, FEATURES, AXES, NEIGHBOURS = 2000, 4096, 48, 25
+#: A row costs dense counts of all features, so it weighs this much of a slice at least.
+ROW_BYTES = 2 * FEATURES
 
 
 def term_counts(texts: list[str]) -> np.ndarray:
@@ -98,7 +100,7 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
         total, rows = np.zeros(FEATURES, np.int64), 0
         for batch in batches:
             sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(0)), 0))
-            for a, b in slices(sizes):
+            for a, b in slices(np.maximum(sizes, ROW_BYTES)):
                 total += (term_counts([t or "" for t in batch.column(0).slice(a, b - a).to_pylist()]) > 0).sum(axis=0)
                 rows += b - a
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(FEATURES + 1, dtype=np.int32)), pa.array(np.append(total, rows))], names=["feature", "n"])
@@ -141,7 +143,7 @@ def train(docs: DataFrame, labels: DataFrame, modulus: int = 5, held_out: int =
             names=["doc_id", "label", "at", "n"],
         )
 
-    got = sorted(rows.mapInArrow(in_slices(run), "doc_id long, label int, at binary, n binary").collect(), key=lambda r: (r.doc_id, r.label, r.at, r.n))
+    got = sorted(rows.mapInArrow(in_slices(run, row_bytes=ROW_BYTES), "doc_id long, label int, at binary, n binary").collect(), key=lambda r: (r.doc_id, r.label, r.at, r.n))
     if not got:
         return None
     x = np.zeros((len(got), FEATURES + SHAPE), np.float32)
@@ -188,7 +190,7 @@ def score(docs: DataFrame, space: Space | None) -> DataFrame:
         return pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], names=[*batch.schema.names, "__score"])
 
     kinds = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes)
-    return docs.mapInArrow(in_slices(run), f"{kinds}, __score double")
+    return docs.mapInArrow(in_slices(run, row_bytes=ROW_BYTES), f"{kinds}, __score double")
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
