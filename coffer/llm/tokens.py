@@ -51,7 +51,7 @@ class _Cache:
 class WordIds:
     """Ids of texts under a word-level byte BPE of the tokenizers library."""
 
-    def __init__(self, path: str, limit: int = 300_000):
+    def __init__(self, path: str, limit: int = 60_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
