@@ -19,7 +19,7 @@ component (null if there is none); an empty table gives an empty result; only
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -34,6 +34,8 @@ from coffer.llm.common import _TABLE, drop_table, gram_hash, in_slices, material
 SKETCHES, SKETCH_SHINGLES = 12, 4
 #: Bins of the signature that estimates a similarity, the least estimate that is verified, and members compared in one task at most.
 BINS, ESTIMATE, MEMBERS = 128, 0.65, 4096
+#: Shingles of the texts compared in one task at most.
+SHINGLES = 4_000_000
 
 
 def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
@@ -226,7 +228,8 @@ def spanning_pairs(rows: np.ndarray, signatures: np.ndarray, forests: int = 2) -
     ``signatures`` is (rows, BINS). A pair's weight is the share of bins filled
     in either text that agree; pairs below ``ESTIMATE`` do not count. A maximum
     spanning forest keeps the connections that all pairs above a threshold
-    would make; the second one makes up for errors of the estimate.
+    would make; the second one makes up for most errors of the estimate, and
+    ``unsettled_pairs`` for the rest.
     """
     n, out, used = len(rows), [], set()
     filled = signatures > 0
@@ -249,59 +252,138 @@ def spanning_pairs(rows: np.ndarray, signatures: np.ndarray, forests: int = 2) -
     return out
 
 
-def _spanning(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Groups of rows sorted by (kind, print, low, high): their spanning pairs."""
-    held: list[pa.RecordBatch] = []
+def crossing_pairs(roots: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Pairs of different roots that some two sets of at least ``similarity`` join, by exact counts over all pairs of sets.
 
-    def pairs_of(part: pa.Table, keys: np.ndarray) -> pa.RecordBatch:
-        rows, prints = part["row"].to_numpy(), np.frombuffer(b"".join(part["signature"].to_pylist()), "<u2").reshape(-1, BINS)
-        edges = np.concatenate([[0], np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1, [len(rows)]])
-        found = [p for a, b in zip(edges, edges[1:], strict=False) if b - a > 1 for p in spanning_pairs(rows[a:b], prints[a:b])]
-        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+    Sets that are joined already are not compared; sets of small components go
+    first, so that the members of the largest are never compared with each other.
+    """
+    sizes = np.array([len(s) for s in sets])
+    ends = np.cumsum(sizes)
+    starts = ends - sizes
+    found, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    mark, label, out = np.zeros(len(found), np.uint8), roots.copy(), []
+    _, own, members = np.unique(roots, return_inverse=True, return_counts=True)
+    order = np.argsort(members[own], kind="stable")
+    for i, at in enumerate(order.tolist()):
+        if (label[order[i:]] == label[at]).all():
+            break  # every pair of two components has been compared
+        mark[ids[starts[at] : ends[at]]] = 1
+        both = np.add.reduceat(mark[ids], starts, dtype=np.int64)
+        mark[ids[starts[at] : ends[at]]] = 0
+        for j in np.flatnonzero((label != label[at]) & (both >= similarity * (sizes + sizes[at] - both))).tolist():
+            if label[j] != label[at]:
+                out.append((int(min(roots[at], roots[j])), int(max(roots[at], roots[j]))))
+                label[label == label[j]] = label[at]
+    return out
 
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        part = pa.Table.from_batches([*held, batch]).combine_chunks()
-        keys = np.stack([part[k].to_numpy() for k in ("kind", "print", "low", "high")], axis=1)
-        last = np.flatnonzero((keys != keys[-1]).any(axis=1))
-        cut = int(last[-1]) + 1 if len(last) else 0  # the last group may go on in the next batch
-        if cut:
-            yield pairs_of(part.slice(0, cut), keys[:cut])
-        held = part.slice(cut).to_batches()
-    if held:
-        part = pa.Table.from_batches(held).combine_chunks()
-        yield pairs_of(part, np.stack([part[k].to_numpy() for k in ("kind", "print", "low", "high")], axis=1))
 
+_KEYS = ("kind", "print", "low", "high")
 
-def sketch_pairs(coded: DataFrame) -> DataFrame:
-    """Candidate pairs (a, b) of rows that share a sketch: the spanning pairs of each group of equal sketches.
 
-    Groups of more than ``MEMBERS`` rows are dealt in blocks, every two of which
-    meet in one task.
-    """
-    groups = coded.select("row", F.posexplode("sketches").alias("kind", "print"))
-    sizes = materialize(groups.groupBy("kind", "print").agg(F.count("*").alias("n")).where("n > 1"), "groups")
-    members = materialize(groups.join(sizes, ["kind", "print"]), "members")
-    blocks = F.ceil(F.col("n") * 2 / MEMBERS).cast("int")
+def _grouped(solve: Callable[[pa.Table], list[tuple[int, int]]]):
+    """A ``mapInArrow`` function: the pairs that ``solve`` finds in each group of rows sorted by (kind, print, low, high)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def pairs_of(part: pa.Table, keys: np.ndarray) -> pa.RecordBatch:
+            edges = np.concatenate([[0], np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1, [len(keys)]])
+            found = [p for a, b in zip(edges, edges[1:], strict=False) if b - a > 1 for p in solve(part.slice(a, b - a))]
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            part = pa.Table.from_batches([*held, batch]).combine_chunks()
+            keys = np.stack([part[k].to_numpy() for k in _KEYS], axis=1)
+            last = np.flatnonzero((keys != keys[-1]).any(axis=1))
+            cut = int(last[-1]) + 1 if len(last) else 0  # the last group may go on in the next batch
+            if cut:
+                yield pairs_of(part.slice(0, cut), keys[:cut])
+            held = part.slice(cut).to_batches()
+        if held:
+            part = pa.Table.from_batches(held).combine_chunks()
+            yield pairs_of(part, np.stack([part[k].to_numpy() for k in _KEYS], axis=1))
+
+    return run
+
+
+def _spanning(part: pa.Table) -> list[tuple[int, int]]:
+    return spanning_pairs(part["row"].to_numpy(), np.frombuffer(b"".join(part["signature"].to_pylist()), "<u2").reshape(-1, BINS))
+
+
+def _blocked(members: DataFrame, blocks: Column) -> DataFrame:
+    """``members`` once for each task (low, high) they meet in: groups of more than two ``blocks`` are dealt so that every two meet."""
     own = F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int")
     dealt = members.withColumn("blocks", blocks).withColumn("own", own)
     others = F.when(F.col("blocks") <= 2, F.array(F.struct(F.lit(0).alias("low"), F.lit(0).alias("high")))).otherwise(
         F.transform(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: j != F.col("own")), lambda j: F.struct(F.least(j, F.col("own")).alias("low"), F.greatest(j, F.col("own")).alias("high")))
     )
-    dealt = dealt.withColumn("o", F.explode(others)).select("row", "kind", "print", "o.low", "o.high")
-    dealt = dealt.join(coded.select("row", "signature"), "row")
-    keys = ["kind", "print", "low", "high"]
-    return dealt.repartition(*keys).sortWithinPartitions(*keys, "row").mapInArrow(_spanning, "a long, b long").distinct()
+    return dealt.withColumn("o", F.explode(others)).select("*", "o.low", "o.high").drop("blocks", "own", "o")
+
+
+def _solved(dealt: DataFrame, solve: Callable[[pa.Table], list[tuple[int, int]]]) -> DataFrame:
+    return dealt.repartition(*_KEYS).sortWithinPartitions(*_KEYS, "row").mapInArrow(_grouped(solve), "a long, b long").distinct()
+
+
+def sketch_members(coded: DataFrame) -> DataFrame:
+    """(row, kind, print, n): the groups of rows with words that share a sketch or, as the last kind, the fingerprint."""
+    groups = coded.where("size > 0").select("row", F.posexplode(F.concat("sketches", F.array("fp"))).alias("kind", "print"))
+    sizes = materialize(groups.groupBy("kind", "print").agg(F.count("*").alias("n")).where("n > 1"), "groups")
+    return materialize(groups.join(sizes, ["kind", "print"]), "members")
+
+
+def sketch_pairs(coded: DataFrame, members: DataFrame) -> DataFrame:
+    """Candidate pairs (a, b) of rows: the spanning pairs of each group.
+
+    Groups of more than ``MEMBERS`` rows are dealt in blocks, every two of which
+    meet in one task.
+    """
+    dealt = _blocked(members, F.ceil(F.col("n") * 2 / MEMBERS).cast("int")).select("row", *_KEYS)
+    return _solved(dealt.join(coded.select("row", "signature"), "row"), _spanning)
+
+
+def unsettled_pairs(single: DataFrame, rooted: DataFrame, members: DataFrame, linked: DataFrame, width: int, similarity: float) -> DataFrame:
+    """(a, b): roots to be joined, from every pair of similar rows that meet and have different roots.
+
+    ``rooted`` is (row, fp, size, root) of the rows with words; ``linked`` has
+    pairs (a, b) of close fingerprints. Rows meet in the groups of ``members``,
+    and where their fingerprints are linked. Groups of one root are done;
+    in the others all pairs of two roots are compared by their shingle sets.
+    """
+    ends = rooted.groupBy("fp").agg(F.min("root").alias("least"), F.max("root").alias("most"))
+    a, b = (ends.select(F.col("fp").alias(k), F.col("least").alias(f"{k}_least"), F.col("most").alias(f"{k}_most")) for k in ("a", "b"))
+    apart = linked.join(a, "a").join(b, "b").where(F.least("a_least", "b_least") < F.greatest("a_most", "b_most"))
+    crossed = apart.select(F.lit(SKETCHES + 1).alias("kind"), F.xxhash64("a", "b").alias("print"), F.explode(F.array("a", "b")).alias("fp"))
+    crossed = crossed.join(rooted, "fp").select("row", "kind", "print", "size", "root")
+    met = members.select("row", "kind", "print").join(rooted.select("row", "size", "root"), "row").unionByName(crossed)
+    sizes = met.groupBy("kind", "print").agg(F.count("*").alias("n"), F.sum("size").alias("total"), F.min("root").alias("least"), F.max("root").alias("most"))
+    sizes = materialize(sizes.where("least < most").select("kind", "print", "n", "total"), "unsettled")
+    unsettled = materialize(met.join(sizes, ["kind", "print"]).select("row", "root", "kind", "print", "n", "total"), "unsettled-members")
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sets = [shingle_set(t, width).tobytes() for t in batch.column(1).to_pylist()]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["row", "shingles"])
+
+    def solve(part: pa.Table) -> list[tuple[int, int]]:
+        return crossing_pairs(part["root"].to_numpy(), [np.frombuffer(x, np.uint64) for x in part["shingles"].to_pylist()], similarity)
+
+    sets = materialize(single.join(unsettled.select("row").distinct(), "row", "left_semi").select("row", "text").mapInArrow(in_slices(run), "row long, shingles binary"), "shingles")
+    blocks = F.ceil(F.greatest(F.col("n") / MEMBERS, F.col("total") / SHINGLES) * 2).cast("int")
+    dealt = _blocked(unsettled, blocks).select("row", "root", *_KEYS)
+    return _solved(dealt.join(sets, "row"), solve)
 
 
 def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> tuple[DataFrame, DataFrame]:
     """``docs`` with a stable ``__row``, and (__row, __root) of every row that has copies.
 
-    Exact copies collapse first. Candidates are the links of whole-text
-    fingerprints and the spanning pairs of groups of equal sketches, so that no
-    pairs of a large group are expanded; each candidate is verified by the
-    similarity of the shingle sets.
+    Exact copies collapse first, and texts without words are one group. First
+    candidates are the links of whole-text fingerprints and the spanning pairs
+    of groups of equal sketches or fingerprints, each verified by the
+    similarity of the shingle sets; they settle most groups without expanding
+    their pairs. Where rows of a group, or of linked fingerprints, still have
+    different roots, all their pairs are compared.
     """
     stored = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "copies")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -316,14 +398,28 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> tup
         fps = pa.array(np.array([fingerprint(t, width) for t in texts], np.uint64).view(np.int64))
         sets = [shingle_set(t, width) for t in texts]
         drawn = pa.array([np.array(sketches(s), np.uint64).view(np.int64).tolist() for s in sets], pa.list_(pa.int64()))
-        return pa.RecordBatch.from_arrays([batch.column(0), fps, drawn, pa.array([signature(s) for s in sets], pa.binary())], names=["row", "fp", "sketches", "signature"])
-
-    coded = materialize(single.mapInArrow(in_slices(run), "row long, fp long, sketches array<long>, signature binary"), "sketches")
+        return pa.RecordBatch.from_arrays(
+            [batch.column(0), fps, drawn, pa.array([signature(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int32())],
+            names=["row", "fp", "sketches", "signature", "size"],
+        )
+
+    coded = materialize(single.mapInArrow(in_slices(run), "row long, fp long, sketches array<long>, signature binary, size int"), "sketches")
+    blank = coded.where("size = 0").select("row")
+    blank = blank.crossJoin(F.broadcast(blank.agg(F.min("row").alias("a")))).where("a <> row").select("a", F.col("row").alias("b"))
     owners = coded.groupBy("fp").agg(F.min("row").alias("row"))
-    linked = links(coded.select("fp")).join(owners.select(F.col("fp").alias("a"), F.col("row").alias("ra")), "a").join(owners.select(F.col("fp").alias("b"), F.col("row").alias("rb")), "b")
-    pairs = linked.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).unionByName(sketch_pairs(coded)).distinct()
+    close = materialize(links(coded.select("fp")), "links")
+    linked = close.join(owners.select(F.col("fp").alias("a"), F.col("row").alias("ra")), "a").join(owners.select(F.col("fp").alias("b"), F.col("row").alias("rb")), "b")
+    members = sketch_members(coded)
+    pairs = linked.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).unionByName(sketch_pairs(coded, members)).distinct()
     edges = materialize(_similar(single, materialize(pairs, "pairs"), width, similarity), "similar")
-    found = components(exact.unionByName(edges))
+    found = materialize(components(exact.unionByName(blank).unionByName(edges)), "found")
+    rooted = coded.where("size > 0").select("row", "fp", "size").join(found.withColumnRenamed("node", "row"), "row", "left")
+    rooted = materialize(rooted.withColumn("root", F.coalesce("root", "row")), "rooted")
+    more = materialize(unsettled_pairs(single, rooted, members, close, width, similarity), "more")
+    if not more.isEmpty():
+        joined = materialize(components(more), "joined")
+        lone = joined.join(found, "node", "left_anti")
+        found = found.join(joined.select(F.col("node").alias("root"), F.col("root").alias("low")), "root", "left").select("node", F.coalesce("low", "root").alias("root")).unionByName(lone)
     return stored, found.select(F.col("node").alias("__row"), F.col("root").alias("__root"))
 
 

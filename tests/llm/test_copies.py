@@ -90,6 +90,39 @@ def test_one_document_of_each_group_of_near_copies_stays(spark):
     assert kept.count() == len(set(roots)) == 7
 
 
+def test_close_pairs_among_texts_of_one_template(spark):
+    """All texts share 240 shingles and lie at 0.75 of each other, but for 60 pairs at 0.806."""
+    rng = random.Random(5)
+    common = [f"c{rng.random()}" for _ in range(244)]
+    rows = []
+    for i in range(600):
+        tail = [f"t{rng.random()}" for _ in range(40)]
+        rows.append((i, " ".join(common + tail)))
+        if i < 60:
+            rows.append((1000 + i, " ".join(common + tail[:10] + [f"u{rng.random()}" for _ in range(30)])))
+    rng.shuffle(rows)
+    kept = {r.doc_id % 1000 for r in simhash.drop_near_copies(documents(spark, rows, extra=False).repartition(4)).select("doc_id").collect()}
+    assert len(kept) == 600
+    assert simhash.drop_near_copies(documents(spark, rows, extra=False)).count() == 600
+
+
+def test_texts_without_words_are_one_group(spark):
+    rows = [(1, None), (2, " "), (3, " \n"), (4, "\t"), (5, "one word"), (6, " ")]
+    assert sorted(simhash.drop_near_copies(documents(spark, rows)).select("doc_id").toPandas()["doc_id"]) in ([i, 5] if i < 5 else [5, i] for i in (1, 2, 3, 4, 6))
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 5), st.sets(st.integers(0, 12), min_size=1, max_size=10)), min_size=1, max_size=14))
+def test_crossing_pairs_join_all_similar_sets(members):
+    roots = np.array([r for r, _ in members])
+    sets = [np.array(sorted(s), np.uint64) for _, s in members]
+    got = simhash.crossing_pairs(roots, sets, 0.6)
+    assert all(a < b for a, b in got)
+    alike = {(min(r, q), max(r, q)) for r, s in members for q, t in members if len(s & t) >= 0.6 * len(s | t)}
+    nodes = sorted(set(roots.tolist()))
+    assert brute_components(nodes, lambda i, j: (i, j) in got or (j, i) in got) == brute_components(nodes, lambda i, j: (min(i, j), max(i, j)) in alike)
+
+
 def brute_repeats(texts, length, keep_first=False):
     blobs = [(t or "").encode() for t in texts]
     count = Counter(b[i : i + length] for b in blobs for i in range(len(b) - length + 1))
