@@ -1,7 +1,7 @@
 """Personal data: base patterns, and terms that disclose the protected entities.
 
-Base spans come from regular expressions over the whole text. Terms near them
-are judged by corpus co-occurrence: with ``df`` document frequencies over all
+Base spans come from regular expressions over the whole text. Terms of the same
+documents are judged by corpus co-occurrence: with ``df`` document frequencies over all
 documents, ``PMI(t; e) = log2(df(t, e) * N / (df(t) * df(e)))`` says how many
 bits of the entity's own information ``IC(e) = log2(N / df(e))`` term ``t``
 reveals. Terms at or above ``disclosure`` of it are generalised, at or above
@@ -33,7 +33,7 @@ PATTERNS = {
     "phone": (r"\+[0-9]", r"\+[0-9][ ().0-9-]+[0-9]"),
 }
 TERM = r"[\p{L}\p{M}]{3,}"
-#: Code points on each side of a base span whose terms co-occur with it.
+#: Code points on each side of a base span that count as close to it; evidence and hiding cover whole documents.
 REACH = 100
 _BLOCK = 256
 
@@ -107,69 +107,69 @@ def base_spans(text: Column, kind: str) -> Column:
 
 
 def find(docs: DataFrame) -> DataFrame:
-    """All columns of ``docs``, and ``__spans``: the base spans by start, then kind, with what stands around them."""
+    """All columns of ``docs``, and ``__spans``: the base spans by start, then kind."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     out = docs
     for kind in KINDS:
         out = out.withColumn(f"__{kind}", base_spans(text, kind))
 
-    def framed(kind: str):
+    def ranked(kind: str):
         order = KINDS.index(kind)
+        return lambda s: F.struct(s.start.alias("start"), F.lit(order).alias("rank"), F.lit(kind).alias("kind"), s.end.alias("end"), F.lower(s.value).alias("value"))
 
-        def one(s: Column) -> Column:
-            left = F.greatest(s.start - REACH, F.lit(0))
-            return F.struct(
-                s.start.alias("start"), F.lit(order).alias("rank"), F.lit(kind).alias("kind"), s.end.alias("end"), F.lower(s.value).alias("value"),
-                left.alias("left_at"), F.substring(text, left + 1, s.start - left).alias("left"), F.substring(text, s.end + 1, F.lit(REACH)).alias("right"),
-            )
-
-        return one
-
-    spans = F.array_sort(F.concat(*[F.transform(F.col(f"__{k}"), framed(k)) for k in KINDS]))
+    spans = F.array_sort(F.concat(*[F.transform(F.col(f"__{k}"), ranked(k)) for k in KINDS]))
     return out.withColumn("__spans", spans).drop(*[f"__{k}" for k in KINDS])
 
 
-def _nearby(found: DataFrame) -> DataFrame:
-    """(row, print, entity, term, start, end): terms near each base span, outside all base spans, whole."""
-    spans = found.select("row", "print", F.explode("__spans").alias("s"))
-    m = spans.select("row", "print", F.concat_ws(":", "s.kind", "s.value").alias("entity"), F.explode(F.array(
-        F.struct(F.col("s.left_at").alias("at"), F.col("s.left").alias("part"), F.lit(True).alias("is_left")),
-        F.struct(F.col("s.end").alias("at"), F.col("s.right").alias("part"), F.lit(False).alias("is_left")),
-    )).alias("c"))
-    m = m.withColumn("t", F.explode(_located(F.col("c.part"), TERM)))
-    # a term cut by the edge of the reach may not be whole
-    whole = F.when(F.col("c.is_left"), (F.col("t.start") > 0) | (F.col("c.at") == 0)).otherwise(F.col("t.end") < REACH)
-    start, end = F.col("c.at") + F.col("t.start"), F.col("c.at") + F.col("t.end")
-    terms = m.where(whole).select("row", "print", "entity", F.lower("t.value").alias("term"), start.alias("start"), end.alias("end")).distinct()
+def _occurrences(found: DataFrame) -> DataFrame:
+    """(row, print, term, start, end): all terms of the texts that lie outside all base spans."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    terms = found.select("row", "print", F.explode(_located(text, TERM)).alias("t")).select("row", "print", F.lower("t.value").alias("term"), "t.start", "t.end")
     # spans and terms of a row in one order: a term is free if no earlier span reaches it and none starts in it
-    taken = spans.select("row", F.col("s.start").alias("start"), F.col("s.end").alias("span_end"))
+    taken = found.select("row", F.explode("__spans").alias("s")).select("row", "s.start", F.col("s.end").alias("span_end"))
     both = terms.unionByName(taken, allowMissingColumns=True)
     before = Window.partitionBy("row").orderBy("start").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     after = Window.partitionBy("row").orderBy(F.desc("start")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     span_start = F.when(F.col("span_end").isNotNull(), F.col("start"))
     both = both.withColumn("reached", F.max("span_end").over(before)).withColumn("next", F.min(span_start).over(after))
     free = (F.coalesce("reached", F.lit(0)) <= F.col("start")) & (F.coalesce("next", F.col("end")) >= F.col("end"))
-    return both.where(F.col("span_end").isNull() & free).select("row", "print", "entity", "term", "start", "end")
+    return both.where(F.col("span_end").isNull() & free).select("row", "print", "term", "start", "end")
 
 
 def disclosing_terms(docs: DataFrame, found: DataFrame, disclosure: float, removal: float, min_support: int) -> DataFrame:
-    """(row, terms): array<struct<start,end,removed>> of the terms to hide; ``found`` has row, print and __spans."""
-    near = materialize(_nearby(found), "near")
+    """(row, terms): array<struct<start,end,removed>> of the terms to hide; ``found`` has row, print, text and __spans.
+
+    A term is beside an entity in every document that holds both, wherever they
+    stand, and a telling term is hidden at all its places in those documents.
+    """
+    total = docs.count()
+    mentions = found.select("row", "print", F.explode("__spans").alias("s")).select("row", "print", F.concat_ws(":", "s.kind", "s.value").alias("entity")).distinct()
+    # copies of one text are one piece of evidence; entities of fewer texts can have no evidence
+    entities = mentions.groupBy("entity", "print").agg(F.count("*").alias("n")).groupBy("entity").agg(F.sum("n").alias("df_e"), F.count("*").alias("support"))
+    mentions = materialize(mentions.join(entities.where(F.col("support") >= min_support), "entity").select("row", "entity", "df_e"), "mentions")
+    held = found.where(F.size("__spans") > 0).join(mentions.select("row").distinct(), "row", "left_semi")
+    places = materialize(_occurrences(held), "places")
+    # as df_te <= df_e, a term of more documents than this cannot tell enough of the entity
+    most = F.col("df_e") * F.pow(F.lit(float(max(total, 1))) / F.col("df_e"), F.lit(1 - disclosure)) * F.lit(1 + 1e-6)
+    limit = mentions.agg(F.max(most)).first()[0]
     text = F.lower(F.coalesce(F.col("text").cast("string"), F.lit("")))
     words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)))).alias("term"))
-    # the frequencies cover all documents; only terms seen near entities are kept after counting
-    frequency = words.groupBy("term").agg(F.count("*").alias("df_t")).join(near.select("term").distinct(), "term", "left_semi")
-    total = docs.count()
-    pairs = near.select("row", "print", "entity", "term").distinct().groupBy("entity", "term", "print").agg(F.count("*").alias("n"))
-    # copies of one text are one piece of evidence
-    pairs = pairs.groupBy("entity", "term").agg(F.sum("n").alias("df_te"), F.count("*").alias("support")).where(F.col("support") >= min_support)
-    mentions = found.select("row", F.explode("__spans").alias("s")).select("row", F.concat_ws(":", "s.kind", "s.value").alias("entity")).distinct()
-    entities = mentions.groupBy("entity").agg(F.count("*").alias("df_e"))
+    if limit is None:
+        words = words.limit(0)  # no entity has support
+    # the frequencies cover all documents; only terms seen beside entities are kept after counting
+    frequency = words.groupBy("term").agg(F.count("*").alias("df_t")).where(F.col("df_t") <= F.lit(limit or 0.0))
+    beside = places.select("row", "print", "term").distinct()
+    frequency = frequency.join(places.select("term").distinct(), "term", "left_semi")
+    evidence = beside.join(frequency, "term").join(mentions, "row").where(F.col("df_t") <= most).select("row", "print", "entity", "term", "df_e", "df_t")
+    evidence = materialize(evidence, "evidence")
+    pairs = evidence.groupBy("entity", "term", "print").agg(F.count("*").alias("n"), F.first("df_e").alias("df_e"), F.first("df_t").alias("df_t"))
+    pairs = pairs.groupBy("entity", "term").agg(F.sum("n").alias("df_te"), F.count("*").alias("support"), F.first("df_e").alias("df_e"), F.first("df_t").alias("df_t"))
     pmi = F.log2(F.col("df_te") * F.lit(float(total)) / (F.col("df_t") * F.col("df_e")))
     information = F.log2(F.lit(float(max(total, 1))) / F.col("df_e"))
-    told = pairs.join(entities, "entity").join(frequency, "term").withColumn("told", F.when(information > 0, pmi / information).otherwise(0.0))
+    told = pairs.where(F.col("support") >= min_support).withColumn("told", F.when(information > 0, pmi / information).otherwise(0.0))
     told = told.where(F.col("told") >= disclosure).select("entity", "term", (F.col("told") >= removal).alias("removed"))
-    hits = near.join(told, ["entity", "term"]).groupBy("row", "start", "end").agg(F.max("removed").alias("removed"))
+    hidden = evidence.join(told, ["entity", "term"]).groupBy("row", "term").agg(F.max("removed").alias("removed"))
+    hits = places.join(hidden, ["row", "term"])
     return hits.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "end", "removed"))).alias("terms"))
 
 
@@ -177,14 +177,14 @@ def sanitise(docs: DataFrame, disclosure: float = 0.8, removal: float = 0.95, mi
     """All columns of ``docs``, and ``__spans`` and ``__terms``: what has to be hidden.
 
     The searched rows are written once, so that rows keep their number; without
-    ``keep_text`` the text is not written.
+    ``keep_text`` only texts with spans are written, and none is returned.
     """
     searched = find(docs).withColumn("__row", F.monotonically_increasing_id()).withColumn("__print", F.xxhash64(F.col("text").cast("string")))
-    searched = materialize(searched if keep_text else searched.drop("text"), "personal")
-    found = searched.select(F.col("__row").alias("row"), F.col("__print").alias("print"), "__spans")
+    searched = materialize(searched if keep_text else searched.withColumn("text", F.when(F.size("__spans") > 0, F.col("text"))), "personal")
+    found = searched.select(F.col("__row").alias("row"), F.col("__print").alias("print"), "text", "__spans")
     terms = disclosing_terms(docs, found, disclosure, removal, min_support).select(F.col("row").alias("__row"), F.col("terms").alias("__terms"))
     empty = F.array().cast("array<struct<start:int,end:int,removed:boolean>>")
-    joined = searched.join(terms, "__row", "left").drop("__row", "__print")
+    joined = searched.join(terms, "__row", "left").drop("__row", "__print", *([] if keep_text else ["text"]))
     return joined.withColumn("__terms", F.coalesce("__terms", empty))
 
 

@@ -111,6 +111,22 @@ def test_disclosing_terms_and_masking(spark):
     assert "zq@hush.org" not in out[40] and "Zorblatt" not in out[40] and "[EMAIL]" in out[40] and out[45] == "call [PHONE] now"
 
 
+def test_disclosing_terms_far_from_the_entity(spark):
+    rng = random.Random(4)
+    texts = [prose(rng, 60) for _ in range(40)]
+    for i in range(4):
+        texts.append(f"Zorblatt {prose(rng, 60)} zq@hush.org today {prose(rng, 60)} Quimby {i} ZORBLATT zorblatt@else{i}.org")
+    texts += ["Wexford " + prose(rng, 60) + " 10.1.2.3", prose(rng, 30) + " 10.1.2.3 " + prose(rng, 50) + " wexford", "Zorblatt alone"]
+    docs = documents(spark, list(enumerate(texts)))
+    for found in (privacy.sanitise(docs), privacy.sanitise(docs, keep_text=False)):
+        got = {(r.doc_id, t.start, t.end) for r in found.collect() for t in r["__terms"]}
+        assert got == brute_terms(texts, 0.8, reach=10**6)
+    assert {texts[i][a:b] for i, a, b in got} >= {"Zorblatt", "ZORBLATT", "Quimby", "Wexford", "wexford"}
+    out = {r.doc_id: r.text for r in stages.personal_data_stage(spark, docs, "").collect()}
+    assert all("quimby" not in out[i].lower() and "zorblatt" not in out[i].lower() for i in range(40, 44))
+    assert "wexford" not in (out[44] + out[45]).lower() and out[46] == "Zorblatt alone"
+
+
 def test_privacy_of_odd_rows(spark):
     docs = documents(spark, odd_rows())
     out = stages.personal_data_stage(spark, docs, "")
