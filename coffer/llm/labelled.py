@@ -22,6 +22,10 @@ def sample_labels(labels: DataFrame, column: str, per_class: int, modulus: int,
 
 
 def with_labels(docs: DataFrame, sample: DataFrame) -> DataFrame:
-    """Documents (doc_id, text, label) of the sample; the sample is bounded, so it is broadcast."""
+    """(doc_id, text, label), one document of each sampled id; the sample is bounded, so it is broadcast.
+
+    Where rows of ``docs`` share an id, the one with the least hash of its text stands for it.
+    """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.join(F.broadcast(sample), "doc_id")
+    found = rows.join(F.broadcast(sample), "doc_id")
+    return found.groupBy("doc_id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("doc_id", "text", "label")

@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from coffer.llm import common, language, quality, toxicity
+from coffer.llm import common, labelled as samples, language, quality, toxicity
 from helpers import documents, odd_rows, prose
 
 SF = "/root/testdata/sf0.01"
@@ -163,3 +163,22 @@ def test_held_out_rows_of_the_tables(spark, module, column, fold, out):
     order = np.argsort(np.argsort(s, kind="stable"))
     area = (order[y == 1].mean() - (y.sum() - 1) / 2) / (len(y) - y.sum())
     assert area > out
+
+
+def test_one_document_of_each_sampled_id(spark):
+    """Repeats of a labelled row neither enlarge the sample nor change what is learnt."""
+    rows, labels = labelled(spark)
+    docs, table = frames(spark, rows, labels)
+    often = rows + [rows[i] for i in (1, 2, 3) for _ in range(200)]
+    many, _ = frames(spark, often, labels)
+    sample = samples.sample_labels(table, "toxic", 4000, 3, 1)
+    got = samples.with_labels(many, sample).collect()
+    assert len(got) == len({r.doc_id for r in got}) == sample.count()
+    assert {r.doc_id: r.text for r in got} == {i: t for i, t in rows if i in {r.doc_id for r in got}}
+    at = got[0].doc_id
+    clash = samples.with_labels(documents(spark, [(at, None), (at, "b"), (at, "a"), (at, None), (None, "x")]), sample).collect()
+    assert [r.doc_id for r in clash] == [at]
+    space = quality.train(many, table)
+    assert len(space.labels) == len(quality.train(docs, table).labels)
+    words = [samples.with_labels(d, sample) for d in (docs, many)]
+    assert sorted(toxicity._class_counts(words[0]).collect()) == sorted(toxicity._class_counts(words[1]).collect())
