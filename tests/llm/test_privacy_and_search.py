@@ -142,29 +142,70 @@ def vectors(spark, rows):
     return df
 
 
-@pytest.mark.parametrize("block_rows", [4096, 50])
-def test_neighbours_against_brute_force(spark, monkeypatch, block_rows):
-    monkeypatch.setattr(neighbours, "BLOCK_ROWS", block_rows)
+def brute_neighbours(rows, every, k):
+    """{query id: [(distance, id)]} by comparing every query with every row."""
+    out = {}
+    for q, v in {(q, tuple(v)): (q, v) for q, v in rows}.values():
+        if q % every == 0:
+            far = [(float(np.sqrt(((w - v) ** 2).sum())), i) for i, w in rows if i != q]
+            out[q] = sorted(out.get(q, []) + far)[:k]
+    return out
+
+
+def answers(frame):
+    by = {}
+    for r in sorted(frame.collect(), key=lambda r: (r.query_id, r["rank"])):
+        by.setdefault(r.query_id, []).append((r.score, r.vec_id))
+    return by
+
+
+@pytest.mark.parametrize(("shard_bytes", "near_bytes"), [(1 << 20, 1 << 20), (16 * 8 * 50, 4000)])
+def test_neighbours_against_brute_force(spark, monkeypatch, shard_bytes, near_bytes):
+    monkeypatch.setattr(neighbours, "SHARD_BYTES", shard_bytes)
+    monkeypatch.setattr(neighbours, "NEAR_BYTES", near_bytes)
     rng = np.random.default_rng(3)
     x = rng.normal(size=(3000, 16)).astype(np.float32)
     x[500:900] = x[500]  # one very common vector
     rows = [(i, v.tolist()) for i, v in enumerate(x)]
-    rows += [(100000, None), (100001, [0.0] * 16), (100002, [float("nan")] * 16), (100003, [1.0] * 3), (None, x[0].tolist()), (7, x[7].tolist())]
-    got = neighbours.search(vectors(spark, rows)).collect()
-    by = {}
-    for r in got:
-        by.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
-    assert set(by) == set(range(0, 3000, 100))
+    rows += [(7, x[7].tolist())] * 2  # a repeated row is three candidates
+    good = [(i, np.array(v, float)) for i, v in rows]
+    rows += [(100000, None), (100001, [0.0] * 16), (100002, [float("nan")] * 16), (None, x[0].tolist())]
+    got, wanted = answers(neighbours.search(vectors(spark, rows))), brute_neighbours(good, 100, 10)
+    assert set(got) == set(range(0, 3000, 100))
     hit = 0
-    for q, found in by.items():
-        found.sort()
-        d = np.sqrt(((x.astype(float) - x[q].astype(float)) ** 2).sum(axis=1))
-        order = [int(i) for i in np.lexsort((np.arange(3000), d)) if i != q][:10]
-        assert [r for r, _, _ in found] == list(range(1, 11))
-        assert all(s == d[v] for _, v, s in found)
-        assert found == [(k + 1, v, s) for k, (s, v) in enumerate(sorted((s, v) for _, v, s in found))]
-        hit += len(set(order) & {v for _, v, _ in found})
-    assert hit >= 0.9 * 10 * len(by)
+    for q, found in got.items():
+        assert found == sorted(found) and len(found) == 10
+        assert all(s == float(np.sqrt(((x[v].astype(float) - x[q].astype(float)) ** 2).sum())) for s, v in found)
+        hit += len({v for _, v in wanted[q]} & {v for _, v in found})
+    assert hit >= 0.93 * 10 * len(got)
+    assert got[500] == wanted[500] and got[700] == wanted[700]
+
+
+def test_repeated_rows_lengths_and_ties(spark):
+    rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [2.0, 1.0]), (4, [1.0]), (100, [2.0]), (200, [1.0, 0.0]), (200, [1.0, 0.0])]
+    got = answers(neighbours.search(vectors(spark, rows), k=4))
+    assert got == brute_neighbours([(i, np.array(v)) for i, v in rows if len(v) == 2], 100, 4) | {100: [(1.0, 4)]}
+    assert [i for _, i in got[0]] == [1, 1, 200, 200]
+
+
+def test_recall_on_the_tables(spark):
+    rows = [(r.vec_id, np.array(r.embedding, float)) for r in spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").collect()]
+    got, wanted = answers(neighbours.op8(spark, "/root/testdata/sf0.1")), brute_neighbours(rows, 100, 10)
+    assert set(got) == set(wanted)
+    assert sum(len({v for _, v in wanted[q]} & {v for _, v in got[q]}) for q in got) >= 0.95 * 10 * len(got)
+
+
+def test_the_meeting_gives_one_row_for_a_query_and_shard():
+    rng = np.random.default_rng(4)
+    tree = neighbours.fit_tree(rng.normal(size=(4000, 8)))
+    held = dict(enumerate(np.bincount(tree.assign(rng.normal(size=(4000, 8))), minlength=tree.leaves).tolist()))
+    held[3] = 5000
+    shards = neighbours.shards_of(held, 1000)
+    filled = {}
+    for leaf, (first, count) in shards.items():
+        for shard in range(first, first + count):
+            filled[shard] = filled.get(shard, 0) + held[leaf] / count
+    assert sorted(filled) == list(range(max(filled) + 1)) and max(filled.values()) <= 1000 and shards[3][1] == 5
 
 
 def test_few_or_no_vectors(spark):
