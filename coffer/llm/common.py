@@ -6,6 +6,7 @@ tasks on one Arrow batch at a time; no helper holds a whole table.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zlib
@@ -13,7 +14,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Texts of one Arrow batch are handled in slices of about this many bytes.
@@ -23,12 +24,15 @@ SLICE_BYTES = 2 << 20
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Only where the session names none (unit tests on one machine) a temporary
-    folder is made and kept in the session's configuration.
+    Where the session names none, as in tests, a temporary folder will do if the
+    master is ``local``, which has one machine; on a cluster it would leave every
+    executor with its own part of a table, so that is refused.
     """
     key, own = "spark.checkpoint.dir", "spark.coffer.dir"
     found = spark.conf.get(key, None) or spark.sparkContext.getConf().get(key) or spark.conf.get(own, None)
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError(f"{key} is not set; it has to name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="coffer-")
         spark.conf.set(own, found)
     return found.rstrip("/")
@@ -75,6 +79,43 @@ def slices(sizes: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int, i
         yield start, len(sizes)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names like the given ones that no column of ``df`` has, in any case of letters."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def columns_of(df: DataFrame) -> list[Column]:
+    """The columns of ``df`` whatever marks their names hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
+#: Shares of all rows that one key may hold before :func:`spread_join` cuts it.
+SHARES = 1024
+
+
+def spread_join(rows: DataFrame, keyed: DataFrame, *on: str) -> DataFrame:
+    """``rows`` joined to ``keyed``, which has one row for each key and the number of its rows as ``n``.
+
+    A key with more than one of :data:`SHARES` of all rows is cut into pieces of
+    that size. There are at most so many such keys, so their names are
+    broadcast whatever the size of the tables.
+    """
+    total = keyed.agg(F.sum("n")).first()[0] or 0
+    most = max(64, -(-total // SHARES))
+    pieces = F.ceil(F.col("n") / most).cast("int")
+    hot = keyed.where(F.col("n") > most).select(*on, pieces.alias("pieces"))
+    dealt = rows.join(F.broadcast(hot), list(on), "left")
+    dealt = dealt.withColumn("piece", F.pmod(F.monotonically_increasing_id(), F.coalesce("pieces", F.lit(1))).cast("int")).drop("pieces")
+    copies = keyed.withColumn("piece", F.explode(F.sequence(F.lit(0), pieces - 1)))
+    return dealt.join(copies, [*on, "piece"]).drop("piece")
+
+
 def texts_of(column: pa.Array | pa.ChunkedArray) -> list[str]:
     return [x or "" for x in column.to_pylist()]
 

@@ -1,14 +1,17 @@
 """SimHash near-duplicates by segment popcounts.
 
-Fingerprints are 64-bit majority votes of XXH64 shingle hashes. Distinct
-fingerprints are cut into blocks; two fingerprints at ``distance`` or fewer
-differing bits agree on at least ``blocks - distance`` whole blocks, so every
-link is met in some combination of agreeing blocks. Within a combination a
-grid range join on bit counts (the total count of the bits outside the agreeing
-blocks, cells of ``distance + 1``) and the Manhattan distance of the
-per-segment counts, both lower bounds of the Hamming distance, leave few
-candidates, and ``bit_count(a ^ b)`` decides. Links become components by
-alternating large-star and small-star rounds, each written to the shared folder.
+Fingerprints are 64-bit majority votes of XXH64 shingle hashes. A fingerprint
+is embedded as the bit counts of its 32 two-bit segments. The Manhattan distance
+of two embeddings is a lower bound of the Hamming distance of the fingerprints,
+so a range join under it misses no link. The join runs on a grid over
+the counts: the segments form groups; within ``distance`` at least
+``groups - distance`` whole groups agree in all their counts, and the total
+count of the others differs by ``distance`` at most. A cell is a choice of
+agreeing groups, their counts, and the total of the others in steps of
+``distance + 1``; a pair meets in equal or adjoining cells. The Manhattan
+distance then drops most pairs of a cell, and ``bit_count(a ^ b)`` decides.
+Links become components by alternating large-star and small-star rounds, each
+written to the shared folder.
 
 Defined results: null or empty text, or text without words, has fingerprint 0
 and links like any other; repeated rows each keep their row; rows with a null
@@ -28,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coffer.llm.common import _TABLE, drop_table, gram_hash, in_slices, materialize, mix, prefix_hash, span_hash, table
+from coffer.llm.common import _TABLE, columns_of, drop_table, fresh, gram_hash, in_slices, materialize, mix, prefix_hash, span_hash, spread_join, table
 
 #: Sketches of a text for copies that differ in more than a few places, and shingles in each.
 SKETCHES, SKETCH_SHINGLES = 12, 4
@@ -72,50 +75,58 @@ def fingerprints(docs: DataFrame, width: int = 3, seed: int = 42) -> DataFrame:
     return rows.mapInArrow(in_slices(run), "doc_id long, fp long")
 
 
-def _blocks(count: int) -> list[tuple[int, int]]:
-    """(first bit, width) of ``count`` nearly equal blocks of 64 bits."""
-    edges = [round(64 * i / count) for i in range(count + 1)]
-    return [(a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
+#: Bits of a segment, and a word with the low bit of every segment set.
+SEGMENT, LOW = 2, 0x5555555555555555
 
 
-def _mask(blocks: list[tuple[int, int]], chosen: tuple[int, ...]) -> int:
-    value = sum(((1 << w) - 1) << a for a, w in (blocks[i] for i in chosen))
-    return value - (1 << 64) if value >= 1 << 63 else value
+def embedded(fp: str) -> str:
+    """SQL of the segment counts of a long, in unary (0 is 00, 1 is 01, 2 is 11): Manhattan distance is the number of differing bits."""
+    either, both = f"(({fp} | shiftrightunsigned({fp}, 1)) & {LOW}L)", f"({fp} & shiftrightunsigned({fp}, 1) & {LOW}L)"
+    return f"({either} | shiftleft({both}, 1))"
 
 
-def _segment_counts(fp: str, segments: int = 8) -> Column:
-    width = 64 // segments
-    keep = (1 << width) - 1
-    return F.array(*[F.expr(f"cast(bit_count(shiftrightunsigned({fp}, {i * width}) & {keep}L) as int)") for i in range(segments)])
+def _masks(groups: int, agreeing: int) -> list[int]:
+    """For each choice of ``agreeing`` groups the mask of their segments, as signed longs."""
+    edges = [SEGMENT * round(64 // SEGMENT * i / groups) for i in range(groups + 1)]
+    parts = [(1 << b) - (1 << a) for a, b in zip(edges, edges[1:], strict=False)]
+    values = [sum(parts[i] for i in chosen) for chosen in combinations(range(groups), agreeing)]
+    return [v - (1 << 64) if v >= 1 << 63 else v for v in values]
 
 
-def links(fps: DataFrame, distance: int = 3, blocks: int = 5) -> DataFrame:
-    """Pairs (a, b) of distinct fingerprints with at most ``distance`` differing bits, each once."""
-    if blocks <= distance:
-        raise ValueError("blocks must exceed distance")
-    parts = _blocks(blocks)
-    agree = list(combinations(range(blocks), blocks - distance))
-    masks = [_mask(parts, chosen) for chosen in agree]
-    base = fps.select("fp").distinct().withColumn("counts", _segment_counts("fp"))
-    keyed = base.withColumn("t", F.explode(F.array(*[
-        F.struct(F.lit(i).alias("combo"), F.col("fp").bitwiseAND(F.lit(m)).alias("bits"), F.expr(f"cast(bit_count(fp & {~m}L) as int)").alias("rest"))
-        for i, m in enumerate(masks)
-    ]))).select("fp", "counts", "t.combo", "t.bits", "t.rest")
+def groups_for(count: int) -> int:
+    """Groups of segments for so many fingerprints: more groups make narrower cells and more copies of each row."""
+    return 5 if count < 1 << 24 else 6 if count < 1 << 27 else 7
+
+
+def candidates(fps: DataFrame, distance: int = 3, groups: int = 5, bound: bool = True) -> DataFrame:
+    """Pairs (a, b), a < b, of distinct fingerprints that meet in a cell, each once; with ``bound`` those of Manhattan distance up to ``distance``."""
+    if groups <= distance:
+        raise ValueError("groups must exceed distance")
+    masks = _masks(groups, groups - distance)
     step = distance + 1
+    counts = fps.select("fp").distinct().withColumn("counts", F.expr(embedded("fp")))
+    keyed = counts.select("fp", F.explode(F.array(*[
+        F.struct(F.lit(i).alias("choice"), F.col("counts").bitwiseAND(F.lit(m)).alias("agreed"), F.expr(f"cast(bit_count(counts & {~m}L) as int)").alias("rest"))
+        for i, m in enumerate(masks)
+    ])).alias("t")).select("fp", "t.choice", "t.agreed", "t.rest")
     cell = F.floor(F.col("rest") / step).cast("int")
-    upper = keyed.select(F.col("fp").alias("b"), F.col("counts").alias("b_counts"), "combo", "bits", F.col("rest").alias("b_rest"), cell.alias("cell"))
-    lower = keyed.select(
-        F.col("fp").alias("a"), F.col("counts").alias("a_counts"), "combo", "bits", F.col("rest").alias("a_rest"),
-        F.explode(F.array_distinct(F.array(cell, F.floor((F.col("rest") + distance) / step).cast("int")))).alias("cell"),
-    )
+    upper = keyed.select(F.col("fp").alias("b"), "choice", "agreed", F.col("rest").alias("b_rest"), cell.alias("cell"))
+    lower = keyed.select(F.col("fp").alias("a"), "choice", "agreed", F.col("rest").alias("a_rest"), F.explode(F.array_distinct(F.array(cell, F.floor((F.col("rest") + distance) / step).cast("int")))).alias("cell"))
     ordered = (F.col("b_rest") - F.col("a_rest")).between(0, distance) & ((F.col("a_rest") < F.col("b_rest")) | (F.col("a") < F.col("b")))
-    manhattan = F.expr("aggregate(zip_with(a_counts, b_counts, (x, y) -> abs(x - y)), 0, (s, x) -> s + x)")
-    differ = "a ^ b"
-    #: a pair that agrees on several combinations is kept in the first of them
-    first = F.expr("case " + " ".join(f"when (({differ}) & {m}L) = 0 then {i}" for i, m in enumerate(masks)) + " else -1 end")
-    joined = lower.join(upper, ["combo", "bits", "cell"]).where(ordered)
-    exact = (F.expr(f"bit_count({differ})") <= distance) & (F.col("combo") == first)
-    return joined.where(exact & (manhattan <= distance)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    met = lower.join(upper, ["choice", "agreed", "cell"]).where(ordered)
+    differ = f"({embedded('a')} ^ {embedded('b')})"
+    if bound:
+        met = met.where(F.expr(f"bit_count({differ})") <= distance)
+    #: a pair that agrees under several choices is kept under the first of them
+    first = F.expr("case " + " ".join(f"when ({differ} & {m}L) = 0 then {i}" for i, m in enumerate(masks)) + " else -1 end")
+    return met.where(F.col("choice") == first).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def links(fps: DataFrame, distance: int = 3, groups: int | None = None) -> DataFrame:
+    """Pairs (a, b) of distinct fingerprints with at most ``distance`` differing bits, each once."""
+    if groups is None:
+        groups = groups_for(fps.select("fp").distinct().count())
+    return candidates(fps, distance, groups).where(F.expr("bit_count(a ^ b)") <= distance)
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -150,17 +161,17 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return stars.unionByName(stars.select(F.col("root").alias("node"), "root").distinct())
 
 
-def near_duplicates(docs: DataFrame, width: int = 3, distance: int = 3, blocks: int = 5) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 3, distance: int = 3, groups: int | None = None) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row of ``docs``."""
     rows = materialize(fingerprints(docs, width), "fingerprints")
-    roots = components(links(rows, distance, blocks))
-    ids = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    named = ids.join(roots, ids.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    prints = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "prints")
+    roots = components(links(prints, distance, groups))
+    named = prints.join(roots, prints.fp == roots.node, "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
     named = materialize(named, "roots")
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    labels = named.join(least, "root").select("fp", "component_id")
+    sizes = named.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
+    labels = spread_join(named.select("fp", "root", F.col("n").alias("rows")), sizes, "root").select("fp", "component_id", F.col("rows").alias("n"))
     hexed = F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint")
-    return rows.join(labels, "fp").select("doc_id", hexed, "component_id")
+    return spread_join(rows, labels, "fp").select("doc_id", hexed, "component_id")
 
 
 def shingle_set(text: str | None, width: int = 5) -> np.ndarray:
@@ -331,7 +342,7 @@ def sketch_members(coded: DataFrame) -> DataFrame:
     """(row, kind, print, n): the groups of rows with words that share a sketch or, as the last kind, the fingerprint."""
     groups = coded.where("size > 0").select("row", F.posexplode(F.concat("sketches", F.array("fp"))).alias("kind", "print"))
     sizes = materialize(groups.groupBy("kind", "print").agg(F.count("*").alias("n")).where("n > 1"), "groups")
-    return materialize(groups.join(sizes, ["kind", "print"]), "members")
+    return materialize(spread_join(groups, sizes, "kind", "print"), "members")
 
 
 def sketch_pairs(coded: DataFrame, members: DataFrame) -> DataFrame:
@@ -360,7 +371,7 @@ def unsettled_pairs(single: DataFrame, rooted: DataFrame, members: DataFrame, li
     met = members.select("row", "kind", "print").join(rooted.select("row", "size", "root"), "row").unionByName(crossed)
     sizes = met.groupBy("kind", "print").agg(F.count("*").alias("n"), F.sum("size").alias("total"), F.min("root").alias("least"), F.max("root").alias("most"))
     sizes = materialize(sizes.where("least < most").select("kind", "print", "n", "total"), "unsettled")
-    unsettled = materialize(met.join(sizes, ["kind", "print"]).select("row", "root", "kind", "print", "n", "total"), "unsettled-members")
+    unsettled = materialize(spread_join(met, sizes, "kind", "print").select("row", "root", "kind", "print", "n", "total"), "unsettled-members")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = [shingle_set(t, width).tobytes() for t in batch.column(1).to_pylist()]
@@ -375,23 +386,18 @@ def unsettled_pairs(single: DataFrame, rooted: DataFrame, members: DataFrame, li
     return _solved(dealt.join(sets, "row"), solve)
 
 
-def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> tuple[DataFrame, DataFrame]:
-    """``docs`` with a stable ``__row``, and (__row, __root) of every row that has copies.
-
-    Exact copies collapse first, and texts without words are one group. First
-    candidates are the links of whole-text fingerprints and the spanning pairs
-    of groups of equal sketches or fingerprints, each verified by the
-    similarity of the shingle sets; they settle most groups without expanding
-    their pairs. Where rows of a group, or of linked fingerprints, still have
-    different roots, all their pairs are compared.
-    """
-    stored = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "copies")
+def _classes(stored: DataFrame, row: str) -> tuple[DataFrame, DataFrame]:
+    """(row, digest) of every row, and (digest, row, n): the classes of equal texts with their first row; texts without words are one class."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    prints = stored.select("__row", F.xxhash64(text).alias("digest"), F.length(text).alias("n"))
-    least = prints.groupBy("digest", "n").agg(F.min("__row").alias("first"), F.count("*").alias("copies"))
-    exact = prints.join(least.where("copies > 1"), ["digest", "n"]).select(F.col("first").alias("a"), F.col("__row").alias("b")).where("a <> b")
-    exact = materialize(exact, "exact")
-    single = stored.join(exact.select(F.col("b").alias("__row")), "__row", "left_anti").select(F.col("__row").alias("row"), text.alias("text"))
+    text = F.when(text.rlike(r"[^ \t-\r]"), text).otherwise(F.lit(""))
+    digests = stored.select(F.col(row).alias("row"), F.unhex(F.md5(text)).alias("digest"))
+    return digests, materialize(digests.groupBy("digest").agg(F.min("row").alias("row"), F.count("*").alias("n")), "texts")
+
+
+def _class_roots(stored: DataFrame, row: str, classes: DataFrame, width: int, similarity: float) -> DataFrame:
+    """(row, root): the first rows of the classes that are near copies of others, and the first row of each group."""
+    texts = stored.select(F.col(row).alias("row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    single = texts.join(classes.select("row"), "row", "left_semi")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = batch.column(1).to_pylist()
@@ -404,15 +410,13 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> tup
         )
 
     coded = materialize(single.mapInArrow(in_slices(run), "row long, fp long, sketches array<long>, signature binary, size int"), "sketches")
-    blank = coded.where("size = 0").select("row")
-    blank = blank.crossJoin(F.broadcast(blank.agg(F.min("row").alias("a")))).where("a <> row").select("a", F.col("row").alias("b"))
     owners = coded.groupBy("fp").agg(F.min("row").alias("row"))
     close = materialize(links(coded.select("fp")), "links")
     linked = close.join(owners.select(F.col("fp").alias("a"), F.col("row").alias("ra")), "a").join(owners.select(F.col("fp").alias("b"), F.col("row").alias("rb")), "b")
     members = sketch_members(coded)
     pairs = linked.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).unionByName(sketch_pairs(coded, members)).distinct()
     edges = materialize(_similar(single, materialize(pairs, "pairs"), width, similarity), "similar")
-    found = materialize(components(exact.unionByName(blank).unionByName(edges)), "found")
+    found = materialize(components(edges), "found")
     rooted = coded.where("size > 0").select("row", "fp", "size").join(found.withColumnRenamed("node", "row"), "row", "left")
     rooted = materialize(rooted.withColumn("root", F.coalesce("root", "row")), "rooted")
     more = materialize(unsettled_pairs(single, rooted, members, close, width, similarity), "more")
@@ -420,13 +424,44 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> tup
         joined = materialize(components(more), "joined")
         lone = joined.join(found, "node", "left_anti")
         found = found.join(joined.select(F.col("node").alias("root"), F.col("root").alias("low")), "root", "left").select("node", F.coalesce("low", "root").alias("root")).unionByName(lone)
-    return stored, found.select(F.col("node").alias("__row"), F.col("root").alias("__root"))
+    return found.select(F.col("node").alias("row"), "root")
+
+
+def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    (row,) = fresh(docs, "row")
+    return materialize(docs.withColumn(row, F.monotonically_increasing_id()), "copies"), row
+
+
+def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> tuple[DataFrame, str, DataFrame]:
+    """``docs`` with a row number, the name of its column, and (row, root) of all rows: the group of each is that of the row ``root``.
+
+    Exact copies are one class, and so are texts without words; each class goes
+    on as its first row. First candidates are the links of whole-text
+    fingerprints and the spanning pairs of groups of equal sketches or
+    fingerprints, each verified by the similarity of the shingle sets; they
+    settle most groups without expanding their pairs. Where rows of a group, or
+    of linked fingerprints, still have different roots, all their pairs are
+    compared.
+
+    Defined results: null and empty texts count as texts without words; repeated
+    rows are exact copies, of which the first in the order of the table is the
+    root; an empty table gives empty results; only ``text`` is read, and the row
+    number takes a name that no column has.
+    """
+    stored, row = _numbered(docs)
+    digests, classes = _classes(stored, row)
+    found = _class_roots(stored, row, classes, width, similarity)
+    roots = classes.join(found, "row", "left").select("digest", "n", F.coalesce("root", "row").alias("root"))
+    return stored, row, spread_join(digests, roots, "digest").select("row", "root")
 
 
 def drop_near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
-    """``docs`` with one document of each group of near copies: the first row of the group."""
-    stored, found = near_copies(docs, width, similarity)
-    return stored.join(found.where("__row <> __root").select("__row"), "__row", "left_anti").select(*docs.columns)
+    """``docs`` with one document of each group of near copies: the first row of the group. Results are defined as in :func:`near_copies`."""
+    stored, row = _numbered(docs)
+    _, classes = _classes(stored, row)
+    found = _class_roots(stored, row, classes, width, similarity)
+    kept = classes.select("row").join(found.where("row <> root").select("row"), "row", "left_anti")
+    return stored.join(kept.withColumnRenamed("row", row), row, "left_semi").select(*columns_of(docs))
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ def documents(spark, rows, extra=True):
     full = [r if len(r) == 4 else (r[0], r[1], "en", f"src{(r[0] or 0) % 3}") for r in rows]
     df = spark.createDataFrame(full, "doc_id long, text string, lang string, source string")
     if extra:
-        for name in ("row", "key", "h", "fp", "n", "queue", "label", "score", "start", "bucket", "spans", "window_id", "entity", "node", "leaf"):
+        for name in ("row", "key", "h", "fp", "n", "queue", "label", "score", "start", "bucket", "spans", "window_id", "entity", "node", "leaf", "__score", "__row", "__spans", "__terms", "Row_", "piece", "digest", "root", "odd `name`", "dotted.name"):
             df = df.withColumn(name, F.lit("clash"))
     return df
 

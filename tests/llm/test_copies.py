@@ -67,6 +67,30 @@ def test_links_of_random_fingerprints(spark):
     assert len(got) == len(set(got)) and set(got) == wanted
 
 
+def test_the_grid_and_the_manhattan_bound_leave_few_pairs(spark):
+    rng = random.Random(9)
+    base = [rng.getrandbits(64) for _ in range(4000)]
+    fps = sorted({f - (f >> 63 << 64) for b in base for f in (b, b ^ (1 << rng.randrange(64)))})
+    df = spark.createDataFrame([(f,) for f in fps], "fp long")
+    linked = {tuple(r) for r in simhash.links(df).collect()}
+    for groups in (5, 6):
+        met, bounded = (simhash.candidates(df, 3, groups, bound=b) for b in (False, True))
+        met, bounded = [tuple(r) for r in met.collect()], {tuple(r) for r in bounded.collect()}
+        assert len(met) == len(set(met)) and linked <= bounded < set(met)
+        # all pairs are 32 million; the cells leave a few thousand of them, the bound little more than the links
+        assert len(met) < 2e-3 * len(fps) ** 2 / 2 and len(bounded) - len(linked) < 0.05 * len(met)
+
+
+def test_manhattan_distance_of_segment_counts(spark):
+    rng = random.Random(10)
+    pairs = [(rng.getrandbits(64), rng.getrandbits(64)) for _ in range(300)]
+    df = spark.createDataFrame([tuple(x - (x >> 63 << 64) for x in p) for p in pairs], "a long, b long")
+    got = [r.d for r in df.select(simhash.F.expr(f"bit_count({simhash.embedded('a')} ^ {simhash.embedded('b')})").alias("d")).collect()]
+    counts = lambda x: [(x >> i & 3).bit_count() for i in range(0, 64, 2)]
+    assert got == [sum(abs(p - q) for p, q in zip(counts(a), counts(b), strict=True)) for a, b in pairs]
+    assert all(d <= (a ^ b).bit_count() for d, (a, b) in zip(got, pairs, strict=True))
+
+
 def test_components_of_long_chains(spark):
     edges = [(i, i + 1) for i in range(200)] + [(1000, 1001), (1001, 1000), (5, 5)]
     got = {r.node: r.root for r in simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -90,6 +114,43 @@ def test_one_document_of_each_group_of_near_copies_stays(spark):
     assert kept.count() == len(set(roots)) == 7
 
 
+def test_membership_and_kept_documents_agree(spark):
+    rng = random.Random(12)
+    texts = [prose(rng, 200) for _ in range(3)]
+    rows = [(i, texts[i % 3] + " tail" * (i % 5 == 0)) for i in range(300)] + [(900 + i, prose(rng, 50)) for i in range(20)] + [(990, None), (991, ""), (992, " ")]
+    df = documents(spark, rows).coalesce(1)
+    stored, row, found = simhash.near_copies(df)
+    ids = {r[row]: r.doc_id for r in stored.select(row, "doc_id").collect()}
+    got = {ids[r.row]: ids[r.root] for r in found.collect()}
+    assert got == {i: i % 3 for i in range(300)} | {900 + i: 900 + i for i in range(20)} | {990: 990, 991: 990, 992: 990}
+    assert {r.doc_id for r in simhash.drop_near_copies(df).select("doc_id").collect()} == set(got.values())
+
+
+def test_near_copies_of_the_tables(spark):
+    """Every pair of documents at 0.8 or above, by comparing all shingle sets through an inverted index."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = [(r.doc_id, set(simhash.shingle_set(r.text).tolist())) for r in docs.collect()]
+    where = {}
+    for n, (_, s) in enumerate(rows):
+        for h in s:
+            where.setdefault(h, []).append(n)
+    shared = Counter(p for held in where.values() for i, a in enumerate(held) for p in ((a, b) for b in held[i + 1 :]))
+    pairs = [(a, b) for (a, b), n in shared.items() if n >= 0.8 * (len(rows[a][1]) + len(rows[b][1]) - n)]
+    stored, row, found = simhash.near_copies(docs)
+    ids = {r[row]: r.doc_id for r in stored.select(row, "doc_id").collect()}
+    root = {ids[r.row]: r.root for r in found.collect()}
+    met = sum(root[rows[a][0]] == root[rows[b][0]] for a, b in pairs)
+    print(f"near copies at 0.8 and above: {met} of {len(pairs)} pairs in one group")
+    assert len(pairs) > 50 and met >= 0.99 * len(pairs)
+    joined = {frozenset((rows[a][0], rows[b][0])) for a, b in pairs}
+    groups = {}
+    for d, r in root.items():
+        groups.setdefault(r, []).append(d)
+    # no document is in a group without a partner of 0.8 there
+    blank = {d for d, s in rows if not s}
+    assert all(len(g) == 1 or set(g) <= blank or all(any(frozenset((d, e)) in joined for e in g if e != d) for d in g) for g in groups.values())
+
+
 def test_close_pairs_among_texts_of_one_template(spark):
     """All texts share 240 shingles and lie at 0.75 of each other, but for 60 pairs at 0.806."""
     rng = random.Random(5)
