@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 #: Texts of one Arrow batch are handled in slices of about this many bytes.
 SLICE_BYTES = 2 << 20
@@ -135,6 +136,20 @@ def in_slices(fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], text: str =
     return run
 
 
+def map_whole(docs: DataFrame, fn: Callable[[pa.RecordBatch, list[str]], pa.RecordBatch], *more: StructField, row_bytes: int = 0) -> DataFrame:
+    """All columns of ``docs``, whatever marks their names hold, and ``more``: ``fn`` gets slices of rows and their texts."""
+    names = docs.columns
+    plain = [f"c{i}" for i in range(len(names))]
+    text = plain[names.index("text")]
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return fn(batch, texts_of(batch.column(batch.schema.get_field_index(text))))
+
+    fields = [StructField(n, f.dataType) for n, f in zip(plain, docs.schema.fields, strict=True)]
+    made = docs.toDF(*plain).mapInArrow(in_slices(run, text, row_bytes), StructType([*fields, *more]))
+    return made.toDF(*names, *[f.name for f in more])
+
+
 # --------------------------------------------------------------------------
 # Vectorised hashing: polynomial prefix sums over a byte table, modulo 2**64.
 
@@ -185,12 +200,18 @@ _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
 
 
+def lowered(text: str) -> str:
+    """Lower case, code point by code point, so that places stay those of ``text``."""
+    whole = text.lower()
+    return whole if len(whole) == len(text) else "".join(c if len(c.lower()) > 1 else c.lower() for c in text)
+
+
 def word_spans(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Words of lower-cased texts: (bytes, hash, row, start, end) with byte places in the joined buffer.
 
     A word is a run of ASCII letters, digits and non-ASCII characters.
     """
-    blobs = [t.lower().encode("utf-8", "surrogatepass") for t in texts]
+    blobs = [lowered(t).encode("utf-8", "surrogatepass") for t in texts]
     sizes = np.array([len(b) + 1 for b in blobs], np.int64)
     data = np.frombuffer(b" ".join([*blobs, b""]) if blobs else b"", np.uint8)
     inside = np.zeros(len(data) + 2, bool)

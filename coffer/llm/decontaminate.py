@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coffer.llm.common import gram_hash, in_slices, prefix_hash, span_hash, table, word_spans
+from coffer.llm.common import gram_hash, in_slices, map_whole, prefix_hash, span_hash, table, word_spans
 
 MIN_TILE, COVERAGE = 5, 0.6
 #: Characters of benchmark text in one broadcast block at most (an item longer than that is a block of its own).
@@ -175,11 +175,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, coverage: float = COVER
     for index in blocks_of(benchmark):
         known = docs.sparkSession.sparkContext.broadcast(index)
 
-        def run(batch: pa.RecordBatch, known=known) -> pa.RecordBatch:
-            texts = [t or "" for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
+        def run(batch: pa.RecordBatch, texts: list[str], known=known) -> pa.RecordBatch:
             return batch.filter(pa.array([not x for x in _matches(texts, known.value, coverage)], pa.bool_()))
 
-        out = out.mapInArrow(in_slices(run), docs.schema)
+        out = map_whole(out, run)
     return out
 
 

@@ -9,8 +9,10 @@ nearest neighbours vote with their similarities.
 
 Defined results: null and empty texts have no features and take the sample's
 share of label 1 among featureless rows or, without such rows, the plain vote
-of 0.5; with no usable labels every score is 0.5; repeated rows are scored
-alike; null ids count as fold of the empty text; only doc_id and text are read.
+of 0.5; with no usable labels every score is 0.5; labelled vectors that tie with
+the last neighbour vote too, and repeated rows are scored alike; null ids count
+as fold of the empty text; only doc_id and text are read; other columns pass
+through whatever their names.
 """
 
 from __future__ import annotations
@@ -22,8 +24,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField
 
-from coffer.llm.common import fold, gram_hash, in_slices, slices, table, word_spans
+from coffer.llm.common import fold, gram_hash, in_slices, map_whole, slices, table, word_spans
 from coffer.llm.labelled import sample_labels, with_labels
 
 #: Labelled documents of each class in the space at most, hashed features, axes, voters.
@@ -162,39 +165,43 @@ def train(docs: DataFrame, labels: DataFrame, modulus: int = 5, held_out: int =
     return Space(axes, idf, _unit(x @ axes)[filled], y[filled], blank)
 
 
+#: Cosines this near to each other are a tie; scores are rounded so that the same text scores alike beside any other rows.
+TIE, DIGITS = 1e-6, 5
+
+
 def votes(vectors: np.ndarray, space: Space, block: int = 1024) -> np.ndarray:
-    """Similarity-weighted share of label 1 among the nearest labelled vectors; exact cosines, blocked."""
+    """Similarity-weighted share of label 1 among the nearest labelled vectors; exact cosines, blocked.
+
+    All vectors that tie with the last neighbour vote.
+    """
     k = min(NEIGHBOURS, len(space.labels))
     out = np.empty(len(vectors))
     for a in range(0, len(vectors), block):
         cosine = vectors[a : a + block] @ space.vectors.T
-        near = np.argpartition(-cosine, k - 1, axis=1)[:, :k] if k < cosine.shape[1] else np.broadcast_to(np.arange(k), cosine.shape)
-        weight = np.maximum(np.take_along_axis(cosine, near, axis=1), 1e-6).astype(np.float64) ** 4
-        out[a : a + block] = (weight * space.labels[near]).sum(axis=1) / weight.sum(axis=1)
-    return np.clip(out, 0, 1)
+        last = np.partition(cosine, len(space.labels) - k, axis=1)[:, len(space.labels) - k, None]
+        weight = np.where(cosine >= last - TIE, np.maximum(cosine, 1e-6) ** 4, 0)
+        out[a : a + block] = (weight @ space.labels.astype(np.float64)) / weight.sum(axis=1, dtype=np.float64)
+    return np.round(np.clip(out, 0, 1), DIGITS)
 
 
-def score(docs: DataFrame, space: Space | None) -> DataFrame:
-    """(doc_id, score) of every row, from its whole text; other columns pass through unchanged."""
+def score(docs: DataFrame, space: Space | None, into: str = "score") -> DataFrame:
+    """All columns of ``docs`` and the score of the whole text as ``into``, which none of them may be called."""
     known = docs.sparkSession.sparkContext.broadcast(space)
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def run(batch: pa.RecordBatch, texts: list[str]) -> pa.RecordBatch:
         s = known.value
-        texts = [t or "" for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
         out = np.full(len(texts), 0.5 if s is None else s.blank)
         if s is not None and len(s.labels):
             counts = term_counts(texts)
             filled = counts.any(axis=1)
             if filled.any():
                 out[filled] = votes(_unit(_weighted(counts[filled], shape_terms(texts)[filled], s.idf) @ s.axes), s)
-        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], names=[*batch.schema.names, "__score"])
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], names=[*batch.schema.names, into])
 
-    kinds = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes)
-    return docs.mapInArrow(in_slices(run, row_bytes=ROW_BYTES), f"{kinds}, __score double")
+    return map_whole(docs, run, StructField(into, DoubleType()), row_bytes=ROW_BYTES)
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    space = train(docs, table(spark, sf_dir, "labels"))
-    scored = score(docs, space)
-    return scored.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= 0.3).cast("int").alias("predicted"))
+    scored = score(docs, train(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))

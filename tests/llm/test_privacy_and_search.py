@@ -1,6 +1,9 @@
+import math
 import random
 import re
+from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -9,6 +12,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from coffer.llm import neighbours, privacy, stages
+from coffer.llm.oracle import ORACLE
 from helpers import documents, odd_rows, prose
 
 PLAIN = {
@@ -46,8 +50,8 @@ TRICKY = [
 
 
 def spans_of(spark, rows):
-    found = privacy.find(documents(spark, rows))
-    return [[(s.start, s["rank"], s.kind, s.end) for s in r["__spans"]] for r in found.select("__spans").collect()]
+    found = documents(spark, rows).select(privacy.found_spans(F.col("text")).alias("found"))
+    return [[(s.start, s["rank"], s.kind, s.end) for s in r.found] for r in found.collect()]
 
 
 def test_base_spans(spark):
@@ -59,39 +63,37 @@ def test_base_spans(spark):
 @given(st.lists(st.text("a@.1+ -(5é", max_size=40), min_size=1, max_size=20))
 def test_base_spans_of_random_texts(spark, texts):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
-    got = [[(s.start, s["rank"], s.kind, s.end) for s in r["__spans"]] for r in privacy.find(df).orderBy("doc_id").collect()]
+    found = df.select("doc_id", privacy.found_spans(F.col("text")).alias("found")).orderBy("doc_id").collect()
+    got = [[(s.start, s["rank"], s.kind, s.end) for s in r.found] for r in found]
     assert got == [brute_spans(t) for t in texts]
 
 
-def brute_terms(texts, disclosure, reach=privacy.REACH):
-    """(text number, start, end) of disclosing terms, from the definition."""
-    import math
+def owner(kind, value):
+    digits = re.sub("[^0-9]", "", value)
+    return {"email": value.rpartition("@")[2], "ip": ".".join(value.split(".")[:3]), "card": digits[:6], "phone": digits[:4]}[kind]
+
 
+def brute_terms(texts, disclosure=0.8, value_support=2, owner_support=3):
+    """(text number, start, end) of disclosing terms, from the definition."""
     word = re.compile(r"[^\W\d_]{3,}")
-    df_t, df_e, pairs, near = {}, {}, {}, []
-    for n, t in enumerate(texts):
-        t = t or ""
-        for w in set(word.findall(t.lower())):
-            df_t[w] = df_t.get(w, 0) + 1
+    texts = [t or "" for t in texts]
+    terms, entities = [], []
+    for t in texts:
         spans = brute_spans(t)
-        for e in {f"{k}:{t[a:b].lower()}" for a, _, k, b in spans}:
-            df_e[e] = df_e.get(e, 0) + 1
-        for a, _, k, b in spans:
-            for lo, hi in ((max(0, a - reach), a), (b, min(len(t), b + reach))):
-                for m in word.finditer(t[lo:hi]):
-                    s, e = lo + m.start(), lo + m.end()
-                    whole = (m.start() > 0 or lo == 0) if hi == a else m.end() < reach
-                    if whole and not any(x < e and s < y for x, _, _, y in spans):
-                        near.append((n, f"{k}:{t[a:b].lower()}", m.group().lower(), s, e))
-    for n, e, w, _, _ in near:
-        pairs.setdefault((e, w), set()).add(n)
-    out = set()
-    for n, e, w, s, f in near:
-        rows = pairs[e, w]
-        information = math.log2(len(texts) / df_e[e])
-        told = math.log2(len(rows) * len(texts) / (df_t[w] * df_e[e])) / information if information > 0 else 0
-        if len({texts[i] for i in rows}) >= 2 and told >= disclosure:
-            out.add((n, s, f))
+        entities.append({e for a, _, k, b in spans for v in [t[a:b].lower()] for e in ((k, "value", v), (k, "owner", owner(k, v)))})
+        terms.append([(m.group().lower(), m.start(), m.end()) for m in word.finditer(t) if not any(x < m.end() and m.start() < y for x, _, _, y in spans)])
+    held = [set(word.findall(t.lower())) for t in texts]
+    n, out = len(texts), set()
+    for e in set().union(*entities):
+        own = [i for i in range(n) if e in entities[i]]
+        least = value_support if e[1] == "value" else owner_support
+        if len({texts[i] for i in own}) < least or len(own) == n:
+            continue
+        for w in {w for i in own for w, _, _ in terms[i]}:
+            both = [i for i in own if any(w == x for x, _, _ in terms[i])]
+            chance = (len(both) + len(own) / n) / (sum(w in h for h in held) + 1)
+            if len({texts[i] for i in both}) >= least and math.log2(chance * n / len(own)) / math.log2(n / len(own)) >= disclosure:
+                out |= {(i, a, b) for i in own for x, a, b in terms[i] if x == w}
     return out
 
 
@@ -103,8 +105,8 @@ def test_disclosing_terms_and_masking(spark):
     texts += [texts[-1], "call +1 (555) 123-4567 now"]
     docs = documents(spark, list(enumerate(texts)))
     found = privacy.sanitise(docs)
-    got = {(r.doc_id, t.start, t.end) for r in found.collect() for t in r["__terms"]}
-    assert got == brute_terms(texts, 0.8)
+    got = {(r.doc_id, t.start, t.end) for r in found.docs.collect() for t in r[found.terms]}
+    assert got == brute_terms(texts)
     assert {texts[i][a:b] for i, a, b in got} >= {"Zorblatt", "Quimby"}
     out = {r.doc_id: r.text for r in stages.personal_data_stage(spark, docs, "").collect()}
     assert all(out[i] == texts[i] for i in range(40))
@@ -119,14 +121,48 @@ def test_disclosing_terms_far_from_the_entity(spark):
     texts += ["Wexford " + prose(rng, 60) + " 10.1.2.3", prose(rng, 30) + " 10.1.2.3 " + prose(rng, 50) + " wexford", "Zorblatt alone"]
     docs = documents(spark, list(enumerate(texts)))
     for found in (privacy.sanitise(docs), privacy.sanitise(docs, keep_text=False)):
-        got = {(r.doc_id, t.start, t.end) for r in found.collect() for t in r["__terms"]}
-        assert got == brute_terms(texts, 0.8, reach=10**6)
+        got = {(r.doc_id, t.start, t.end) for r in found.docs.collect() for t in r[found.terms]}
+        assert got == brute_terms(texts)
     assert {texts[i][a:b] for i, a, b in got} >= {"Zorblatt", "ZORBLATT", "Quimby", "Wexford", "wexford"}
     out = {r.doc_id: r.text for r in stages.personal_data_stage(spark, docs, "").collect()}
     assert all("quimby" not in out[i].lower() and "zorblatt" not in out[i].lower() for i in range(40, 44))
     assert "wexford" not in (out[44] + out[45]).lower() and out[46] == "Zorblatt alone"
 
 
+@pytest.mark.parametrize("most", [10**6, 0])
+def test_terms_that_tell_the_owner(spark, monkeypatch, most):
+    """Every address occurs once, but all of one company stand beside its name."""
+    monkeypatch.setattr(privacy, "BROADCAST_TERMS", most)
+    rng = random.Random(14)
+    texts = [prose(rng, 40) for _ in range(60)] + [f"{prose(rng, 10)} staff of Zorblatt {i} w{i}@mail.zorb.org {prose(rng, 10)}" for i in range(5)]
+    texts += [f"visit +49 30 12345{i} in Berlinchen or 10.9.8.{i} {prose(rng, 10)}" for i in range(3)] + [f"lone x{i}@twice.org Pairterm" for i in range(2)]
+    found = privacy.sanitise(documents(spark, list(enumerate(texts))))
+    got = {(r.doc_id, t.start, t.end) for r in found.docs.collect() for t in r[found.terms]}
+    assert got == brute_terms(texts)
+    assert {texts[i][a:b] for i, a, b in got} >= {"Zorblatt", "Berlinchen"} and "Pairterm" not in {texts[i][a:b] for i, a, b in got}
+
+
+def test_masking_of_long_texts(spark):
+    rng = random.Random(3)
+    parts = [prose(rng, rng.randint(0, 900)) + rng.choice(["", "é", "😀"]) for _ in range(30)]
+    text = " ".join(f"{p} a{i}@b.org" for i, p in enumerate(parts))
+    out = [r.text for r in privacy.hide(documents(spark, [(1, text), (2, None), (3, "x" * 9000), (4, "a@b.org" + "y" * 8192)])).orderBy("doc_id").collect()]
+    assert out == [re.sub(r"a[0-9]+@b\.org", "[EMAIL]", text), None, "x" * 9000, "[EMAIL]"]
+
+
+def test_sql_of_personal_data(spark, tmp_path):
+    rng = random.Random(21)
+    texts = [prose(rng, 30) for _ in range(50)] + [f"{prose(rng, 9)} Zorblatt z{i % 4}@hush.org {prose(rng, 9)} QUIMBY" for i in range(6)] + TRICKY + [None, "", "+1 (555) 123-4567"]
+    docs = documents(spark, [(i % 70, t) for i, t in enumerate(texts)]).select("doc_id", "text")
+    docs.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    got = privacy.op7(spark, str(tmp_path))
+    wanted = con.sql(ORACLE["op7_personal_data"])
+    assert Counter(map(tuple, got.select(*wanted.columns).collect())) == Counter(wanted.fetchall())
+    assert sum("term" in r.spans for r in got.collect()) >= 6
+
+
 def test_privacy_of_odd_rows(spark):
     docs = documents(spark, odd_rows())
     out = stages.personal_data_stage(spark, docs, "")
