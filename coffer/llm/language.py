@@ -6,7 +6,8 @@ window, the largest response of each filter is kept, and a softmax layer gives
 the languages; a text's score is the mean over its windows. A filter over
 one-hot bytes is a sum of table rows, so the forward pass gathers rows of tables
 indexed by byte pairs. The network is trained in numpy on the driver from a
-bounded sample of labelled rows.
+bounded sample of pieces, drawn by hash from all places of all labelled texts;
+every language is learnt, with fewer pieces of each where there are many.
 
 Defined results: null text and text without any letter give ``und`` with score
 0; null labels are not learnt; if nothing can be learnt, texts with letters
@@ -21,17 +22,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from coffer.llm.common import fold, in_slices, table
 
 WINDOW = 128
-#: Labelled documents read at most for each language, windows taken from each, languages learnt at most.
-PER_LANGUAGE, WINDOWS_EACH, MAX_LANGUAGES = 600, 6, 200
+#: Code points of a training piece; pieces in all, about, and of each language at most and at least.
+PIECE, PIECES, MOST_EACH, LEAST_EACH = 256, 40_000, 2000, 50
 WIDTHS, FILTERS = (2, 3, 4), 8
 
-_LETTER = re.compile(r"[^\W\d_]")
+_WORDLY = re.compile(r"[^\W\d_]")
 _CLASS = np.full(256, 1, np.uint8)
 _CLASS[[9, 10, 11, 12, 13, 32]] = 0
 _CLASS[97:123] = np.arange(2, 28)
@@ -39,6 +40,11 @@ _CLASS[128:256] = np.arange(28, 156)
 CLASSES = 156
 
 
+def has_letter(text: str) -> bool:
+    """Whether a character of the text is a letter; numerals such as fractions are none."""
+    return any(m.group().isalpha() for m in _WORDLY.finditer(text))
+
+
 def windows(texts: list[str], window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
     """(n, window) byte classes and the row of each window; the last window of a text is padded with blanks."""
     blobs = [t.lower().encode("utf-8", "surrogatepass") for t in texts]
@@ -129,26 +135,23 @@ def fit(x: np.ndarray, y: np.ndarray, languages: list[str], epochs: int = 6, bat
     return Network(languages, {w: p[f"t{w}"] for w in WIDTHS}, p["b"], p["d"], p["c"])
 
 
-def train(docs: DataFrame, modulus: int = 3, held_out: int = 1, per_language: int = PER_LANGUAGE, seed: int = 7) -> Network | None:
-    """Fit on at most ``per_language`` documents of each language, outside the held-out fold."""
+def train(docs: DataFrame, modulus: int = 3, held_out: int = 1, pieces: int = PIECES, seed: int = 7) -> Network | None:
+    """Fit on about ``pieces`` pieces of labelled texts outside the held-out fold, alike many of each language."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(F.col("doc_id"), modulus) != held_out))
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
-    languages = sorted(r.lang for r in counts)
+    held = F.ceil(F.length("text") / PIECE)
+    totals = {r.lang: int(r.n) for r in rows.groupBy("lang").agg(F.sum(F.greatest(held, F.lit(1))).alias("n")).collect()}  # one row for each language
+    languages = sorted(totals)
     if not languages:
         return None
-    totals = {r.lang: r["count"] for r in counts}
-    # a hash rate keeps a little over per_language rows of each language; the exact bound follows by rank
-    rate = F.create_map(*[F.lit(v) for k, n in totals.items() for v in (k, min(1.0, 2.0 * per_language / n + 20.0 / n))])
-    drawn = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < rate[F.col("lang")] * (1 << 20)
-    own = rows.where(drawn & F.col("lang").isin(languages))
-    cuts = F.expr(f"substring(text, cast(1 + pmod(xxhash64(text), greatest(1, length(text) - {WINDOW * WINDOWS_EACH})) as int), {WINDOW * WINDOWS_EACH})")
-    picked = own.select("doc_id", "lang", cuts.alias("text"), F.xxhash64("text", "doc_id").alias("draw"))
-    parts = [picked.where(F.col("lang") == lang).orderBy("draw").limit(per_language) for lang in languages]
-    union = parts[0]
-    for part in parts[1:]:
-        union = union.unionByName(part)
-    got = [(r.lang, r.text) for r in union.select("lang", "text").orderBy("lang", "text").collect()]
+    each = max(LEAST_EACH, min(MOST_EACH, pieces // len(languages)))
+    # a hash rate keeps a little over ``each`` pieces of every language; the exact bound follows by rank
+    rate = rows.sparkSession.createDataFrame([(k, min(1.0, (1.2 * each + 40.0) / max(n, 1))) for k, n in totals.items()], "lang string, rate double")
+    drawn = F.expr(f"filter(transform(sequence(0, greatest(0, cast(ceil(length(text) / {PIECE}) as int) - 1)), i -> struct(xxhash64(i, doc_id, digest) as draw, i as i)), x -> pmod(x.draw, {1 << 30}) < rate * {1 << 30})")
+    own = rows.join(F.broadcast(rate), "lang").withColumn("digest", F.xxhash64("text"))
+    picked = own.withColumn("p", F.explode(drawn)).select("lang", "p.draw", F.expr(f"substring(text, p.i * {PIECE} + 1, {PIECE})").alias("text"))
+    ranked = picked.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("draw", "text"))).where(F.col("place") <= each)
+    got = sorted((r.lang, r.text) for r in ranked.select("lang", "text").collect())
     x, row = windows([t for _, t in got])
     y = np.array([languages.index(k) for k, _ in got])[row]
     # a window with few letters teaches nothing
@@ -163,7 +166,7 @@ def predict(docs: DataFrame, net: Network | None) -> DataFrame:
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         model = known.value
         texts = [t or "" for t in batch.column(1).to_pylist()]
-        lettered = np.array([_LETTER.search(t) is not None for t in texts], bool)
+        lettered = np.array([has_letter(t) for t in texts], bool)
         names, scores = np.full(len(texts), "und", object), np.zeros(len(texts))
         if model is not None and lettered.any():
             own = np.flatnonzero(lettered)

@@ -4,19 +4,26 @@ Tokens are words and word beginnings of 4 to 8 bytes, so that inflected forms of
 one stem count together. Training counts them in labelled documents and, as a
 Dirichlet prior, in the whole corpus; a word scores the largest log-odds of its
 tokens that are significant for the toxic class, all other words a small
-negative drift. A linear scan finds every maximal
-scoring segment of a whole text; the largest is turned into an extreme-value
-statistic ``lambda * S - log(K * n)`` with lambda from the clean background,
-and a logistic fit on the labelled sample maps that to a probability.
-
-Defined results: null, empty and word-less texts have the score of an empty
-text, no passages, and prediction 0; repeated rows are scored alike; null ids
+negative drift. A linear scan finds every maximal scoring segment of a whole
+text. Extreme-value theory says that among ``n`` clean words a segment of score
+``S`` or more turns up ``K * n * exp(-lambda * S)`` times, with lambda from the clean
+background and K from the best segments of clean labelled rows by maximum
+likelihood. A segment is significant if it is expected less than once; the
+statistic of a text is the negative log-chance of its best ``r`` segments
+together (the sum statistic of ordered segments), at the most telling ``r``, and 0
+where nothing toxic is found. A logistic fit on the labelled sample maps its
+logarithm to a probability; texts without a finding keep their own share of toxic rows.
+
+Defined results: null, empty and word-less texts, and all texts in which nothing
+toxic is found, have one score, the lowest, no passages, and prediction 0;
+passages are code points of the text; repeated rows are scored alike; null ids
 count as fold of the empty text; with no usable labels all scores are 0; only
 doc_id and text are read, other columns cannot clash.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,15 +32,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coffer.llm.common import _TABLE, fold, in_slices, mix, prefix_hash, slices, span_hash, table, word_spans
+from coffer.llm.common import _TABLE, fold, in_slices, materialize, mix, prefix_hash, slices, span_hash, table, word_spans
 from coffer.llm.labelled import sample_labels, with_labels
 
 #: Labelled documents that a fit reads at most, of each class.
 PER_CLASS = 8000
+#: Parts of the sample for the calibration.
+PARTS = 5
 #: Lengths in bytes of the word beginnings that are tokens besides the word.
 STEMS = (4, 5, 6, 7, 8)
-#: Tokens that can be candidates for the toxic lexicon at most; the strongest are kept.
-MAX_WORDS = 50_000
 
 
 @dataclass
@@ -47,6 +54,7 @@ class Lexicon:
     k: float
     slope: float
     intercept: float
+    none: float = 0.0  # the score of texts without a finding
 
 
 def maximal_segments(places: list[int], scores: list[float], drift: float) -> list[tuple[int, int, float]]:
@@ -119,20 +127,20 @@ def _merge_counts(hashes: np.ndarray, weights: np.ndarray | None = None) -> tupl
 
 
 def _class_counts(sample: DataFrame) -> DataFrame:
-    """(token hash, count in toxic, count in other documents) of the labelled sample."""
+    """(token hash, n1, n0): counts in toxic and in other documents of the labelled sample, as arrays with one number for each part."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         _, row, _, _, forms = tokens([t or "" for t in batch.column(1).to_pylist()])
-        label = np.asarray(batch.column(2))[row]
+        group = (np.asarray(batch.column(2)) * PARTS + np.asarray(batch.column(3)))[row]
         out = []
-        for y in (0, 1):
-            words, n = _merge_counts(np.concatenate([h[label[own] == y] for own, h in forms]))
-            out.append((words, np.full(len(words), y, np.int32), n))
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*((w.view(np.int64), y, n) for w, y, n in out), strict=True)], names=["word", "label", "n"])
+        for g in range(2 * PARTS):
+            words, n = _merge_counts(np.concatenate([h[group[own] == g] for own, h in forms]))
+            out.append((words.view(np.int64), np.full(len(words), g, np.int32), n))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["word", "part", "n"])
 
-    return sample.mapInArrow(in_slices(run), "word long, label int, n long").groupBy("word").agg(
-        F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("n1"), F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("n0")
-    )
+    counts = sample.select("doc_id", "text", "label", "part").mapInArrow(in_slices(run), "word long, part int, n long").groupBy("word")
+    each = [F.coalesce(F.sum(F.when(F.col("part") == g, F.col("n"))), F.lit(0)) for g in range(2 * PARTS)]
+    return counts.agg(F.array(*each[PARTS:]).alias("n1"), F.array(*each[:PARTS]).alias("n0"))
 
 
 def _corpus_counts(docs: DataFrame, words: np.ndarray) -> dict[int, int]:
@@ -187,52 +195,108 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float,
     return a / scale, b - a * center / scale
 
 
+def _lexicon(words: np.ndarray, n1: np.ndarray, n0: np.ndarray, total1: float, total0: float, share: np.ndarray, min_z: float, drift: float, prior_share: float) -> Lexicon:
+    """The tokens whose log-odds are significant, with the lambda of the clean background."""
+    prior = prior_share * total0
+    alpha = prior * share + 1e-3
+    odds = np.log((n1 + alpha) / (total1 + prior - n1 - alpha)) - np.log((n0 + alpha) / (total0 + prior - n0 - alpha))
+    z = odds / np.sqrt(1 / (n1 + alpha) + 1 / (n0 + alpha))
+    kept = (z >= min_z) & (odds > 0)
+    order = np.argsort(words[kept])
+    model = Lexicon(words[kept][order], np.minimum(odds[kept][order], 6.0), drift, 1.0, 1.0, 0.0, -60.0)
+    if kept.any():
+        model.lam = _background_lambda(model.scores, (n0[kept] / total0)[order], drift)
+    return model
+
+
 def train(docs: DataFrame, labels: DataFrame, modulus: int = 3, held_out: int = 1, per_class: int = PER_CLASS, min_z: float = 4.0, drift: float = 0.1, prior_share: float = 0.1) -> Lexicon:
     """Fit the lexicon and its calibration on labelled rows outside the held-out fold.
 
     The prior weighs ``prior_share`` of the other documents' tokens, spread as
-    in the whole corpus.
+    in the whole corpus. The calibration sees every labelled row by a lexicon
+    that was counted without the row's part of the sample.
     """
-    sample = sample_labels(labels, "toxic", per_class, modulus, held_out)
-    rows = with_labels(docs, sample)
-    counts = _class_counts(rows).persist()
-    sums = counts.agg(F.sum("n1"), F.sum("n0")).first()
-    total1, total0 = (int(x or 0) for x in sums)
+    rows = with_labels(docs, sample_labels(labels, "toxic", per_class, modulus, held_out))
+    rows = materialize(rows.withColumn("part", F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(PARTS)).cast("int")), "labelled")
+    counts = materialize(_class_counts(rows), "tokens")
+    sums = counts.agg(*[F.sum(F.col(c)[g]).alias(f"{c}_{g}") for c in ("n1", "n0") for g in range(PARTS)]).first()
+    totals = {c: np.array([sums[f"{c}_{g}"] or 0 for g in range(PARTS)], float) for c in ("n1", "n0")}
+    total1, total0 = totals["n1"].sum(), totals["n0"].sum()
     empty = Lexicon(np.zeros(0, np.uint64), np.zeros(0), drift, 1.0, 1.0, 0.0, -60.0)
     if not total1 or not total0:
-        counts.unpersist()
         return empty
-    lean = (F.col("n1") >= 5) & (F.col("n1") / total1 > 2 * F.col("n0") / total0)
-    found = counts.where(lean).orderBy((F.col("n1") / total1 - F.col("n0") / total0).desc(), "word").limit(MAX_WORDS).collect()
-    counts.unpersist()
-    words = np.array([r.word for r in found], np.int64).view(np.uint64)
-    n1, n0 = (np.array([r[c] for r in found], float) for c in ("n1", "n0"))
+    n1, n0 = (F.aggregate(c, F.lit(0).cast("long"), lambda s, x: s + x) for c in ("n1", "n0"))
+    # tokens of the bounded sample that occur five times at least, as arrays
+    found = counts.where((n1 >= 5) & (n1 / F.lit(total1) > 2 * n0 / F.lit(total0))).toArrow().sort_by("word")
+    words = found["word"].to_numpy().view(np.uint64)
+    parts = {c: found[c].combine_chunks().flatten().to_numpy().astype(float).reshape(-1, PARTS) for c in ("n1", "n0")}
     corpus = _corpus_counts(docs, words)
     share = np.array([corpus.get(int(w), 0) for w in words.view(np.int64)], float) / max(corpus.get(None, 1), 1)
-    prior = prior_share * total0
-    alpha = prior * share + 1e-3
-    odds = np.log((n1 + alpha) / (total1 + prior - n1 - alpha)) - np.log((n0 + alpha) / (total0 + prior - n0 - alpha))
-    z = odds / np.sqrt(1 / (n1 + alpha) + 1 / (n0 + alpha))
-    kept = (z >= min_z) & (odds > 0)
-    if not kept.any():
+
+    def fitted(without: int | None) -> Lexicon:
+        kept = [g for g in range(PARTS) if g != without]
+        return _lexicon(words, parts["n1"][:, kept].sum(axis=1), parts["n0"][:, kept].sum(axis=1), totals["n1"][kept].sum(), totals["n0"][kept].sum(), share, min_z, drift, prior_share)
+
+    model = fitted(None)
+    if not len(model.words):
         return empty
-    order = np.argsort(words[kept])
-    model = Lexicon(words[kept][order], np.minimum(odds[kept][order], 6.0), drift, 1.0, 0.1, 1.0, 0.0)
-    model.lam = _background_lambda(model.scores, (n0[kept] / total0)[order], drift)
-    seen = rows.select("doc_id", "text", "label")
-    scored = _statistics(seen, model, keep="label").select("label", "statistic").collect()
-    x, y = np.array([r.statistic for r in scored]), np.array([r.label for r in scored], float)
+    seen = []  # (label, words, scores of the segments, lambda) of every labelled row
+    for g in range(PARTS):
+        if totals["n1"].sum() > totals["n1"][g] and totals["n0"].sum() > totals["n0"][g]:
+            other = fitted(g)
+            got = _segments(rows.where(F.col("part") == g).select("label", "text"), other, keep="label").toArrow().to_pylist()
+            seen += [(r["label"], r["n_words"], np.array([s["score"] for s in r["segments"]]), other.lam) for r in got]
+    if not seen:
+        return empty
+    label, n_words, scores, lam = (list(c) for c in zip(*seen, strict=True))
+    y, best = np.array(label, float), np.array([s.max(initial=0.0) for s in scores])
+    clean = y == 0
+    model.k = _background_k(best[clean], np.array(n_words)[clean], np.array(lam)[clean])
+    x = np.array([text_statistic(s, n, v, model.k) for s, n, v in zip(scores, n_words, lam, strict=True)])
     # toxic rows weigh 0.4 of all, whatever their share of the sample: a little under even odds
     weight = np.where(y == 1, 0.4 / max(y.sum(), 1), 0.6 / max((1 - y).sum(), 1)) * len(y)
-    model.slope, model.intercept = _logistic(x, y, weight)
+    told = x > 0
+    if told.any():
+        # by the logarithm, as long toxic texts have statistics of any size
+        model.slope, model.intercept = _logistic(np.log1p(x[told]), y[told], weight[told])
+    # texts without a finding take their own share of toxic rows, but never more than any finding would give
+    share_none = float(weight[~told] @ y[~told] + 1e-3) / float(weight[~told].sum() + 2e-3)
+    model.none = min(share_none, 1 / (1 + math.exp(-min(model.intercept, 60.0))))
     return model
 
 
-PASSAGES = "array<struct<start:int,end:int,score:double>>"
+def _background_k(best: np.ndarray, n_words: np.ndarray, lam: np.ndarray | float) -> float:
+    """K by maximum likelihood from the best segments of clean texts; texts without a segment count as censored at 0."""
+    exposure = float((n_words * np.exp(-lam * best)).sum())
+    return max(float((best > 0).sum()), 0.5) / max(exposure, 1.0)
 
 
-def _statistics(docs: DataFrame, model: Lexicon, keep: str = "doc_id") -> DataFrame:
-    """(keep, statistic, passages) of every row; passages are code points of the lower-cased text, scores extreme-value statistics."""
+def text_statistic(scores: np.ndarray, n_words: int, lam: float, k: float) -> float:
+    """Negative log-chance of the best segments of a text; 0 without any, and never below.
+
+    One segment: ``1 - exp(-E)`` with ``E = K * n * exp(-lambda * S)``. The sum ``T`` of
+    the best ``r`` normalised scores: ``exp(-T) * T**(r - 1) / (r! * (r - 1)!)``, times ``2**r``
+    for the choice of ``r``.
+    """
+    if not len(scores):
+        return 0.0
+    normal = lam * np.sort(scores)[::-1] - math.log(k * max(n_words, 1))
+    total = float(normal[0])
+    # for rare segments the chance is the expectation itself
+    out = total if total > 30 else -math.log(-math.expm1(-math.exp(min(-total, 30.0))))
+    for r, value in enumerate(normal[1:].tolist(), 2):
+        if value <= 0:
+            break
+        total += value
+        out = max(out, total - (r - 1) * math.log(total) + math.lgamma(r + 1) + math.lgamma(r) - r * math.log(2))
+    return max(out, 0.0)
+
+
+SEGMENTS = "array<struct<start:int,end:int,score:double>>"
+
+
+def _segments(docs: DataFrame, model: Lexicon, keep: str = "doc_id") -> DataFrame:
+    """(keep, n_words, segments) of every row: all maximal scoring segments, in code points of the text."""
     known = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -240,8 +304,7 @@ def _statistics(docs: DataFrame, model: Lexicon, keep: str = "doc_id") -> DataFr
         texts = [t or "" for t in batch.column(1).to_pylist()]
         data, row, start, end, forms = tokens(texts)
         n_words = np.bincount(row, minlength=len(texts))
-        best = np.zeros(len(texts))
-        passages: list[list[tuple]] = [[] for _ in texts]
+        segments: list[list[dict]] = [[] for _ in texts]
         if len(m.words) and len(row):
             find, worth = _Finder(m.words), np.zeros(len(row))
             for own, h in forms:
@@ -253,31 +316,45 @@ def _statistics(docs: DataFrame, model: Lexicon, keep: str = "doc_id") -> DataFr
             hit = np.flatnonzero(worth)
             first_word = np.concatenate([[0], np.cumsum(n_words)])
             rune = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-            blob = np.concatenate([[0], np.cumsum([len(t.lower().encode("utf-8", "surrogatepass")) + 1 for t in texts])])
+            # texts are joined by single blanks, so each begins one place after the code points before it
+            begin = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
             bounds = np.searchsorted(row[hit], np.arange(len(texts) + 1))
             for i in np.unique(row[hit]).tolist():
                 own = hit[bounds[i] : bounds[i + 1]]
-                found = maximal_segments((own - first_word[i]).tolist(), worth[own].tolist(), m.drift)
-                best[i] = max(s for _, _, s in found)
-                for a, b, s in found:
-                    stat = m.lam * s - np.log(m.k * n_words[i])
-                    if stat > 0:
-                        w0, w1 = first_word[i] + a, first_word[i] + b - 1
-                        passages[i].append((int(rune[start[w0]] - rune[blob[i]]), int(rune[end[w1]] - rune[blob[i]]), float(stat)))
-        statistic = m.lam * best - np.log(m.k * np.maximum(n_words, 1))
+                for a, b, s in maximal_segments((own - first_word[i]).tolist(), worth[own].tolist(), m.drift):
+                    w0, w1 = first_word[i] + a, first_word[i] + b - 1
+                    segments[i].append({"start": int(rune[start[w0]] - begin[i]), "end": int(rune[end[w1]] - begin[i]), "score": float(s)})
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
-        listed = [[{"start": a, "end": b, "score": s} for a, b, s in p] for p in passages]
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(statistic), pa.array(listed, kind)], names=[keep, "statistic", "passages"])
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(segments, kind)], names=[keep, "n_words", "segments"])
+
+    kind = dict(docs.dtypes)[keep]
+    return docs.select(keep, "text").mapInArrow(in_slices(run), f"{keep} {kind}, n_words long, segments {SEGMENTS}")
+
+
+def _statistics(docs: DataFrame, model: Lexicon, keep: str = "doc_id") -> DataFrame:
+    """(keep, statistic, passages) of every row; passages are its significant segments, with their normalised scores."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n_words, found = np.asarray(batch.column(1)), batch.column(2)
+            scores = found.flatten().field("score").to_numpy(zero_copy_only=False)
+            bounds = np.concatenate([[0], np.cumsum(np.asarray(pa.compute.list_value_length(found)))])
+            out = [text_statistic(scores[a:b], n, model.lam, model.k) for a, b, n in zip(bounds[:-1].tolist(), bounds[1:].tolist(), n_words.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.float64()), batch.column(1), found], names=[keep, "statistic", "n_words", "segments"])
 
     kind = dict(docs.dtypes)[keep]
-    return docs.select(keep, "text").mapInArrow(in_slices(run), f"{keep} {kind}, statistic double, passages {PASSAGES}")
+    tested = _segments(docs, model, keep).mapInArrow(run, f"{keep} {kind}, statistic double, n_words long, segments {SEGMENTS}")
+    rare = F.log(F.lit(model.k) * F.col("n_words"))
+    normal = F.transform("segments", lambda s: F.struct(s.start.alias("start"), s.end.alias("end"), (F.lit(model.lam) * s.score - rare).alias("score")))
+    return tested.select(keep, "statistic", F.filter(normal, lambda s: s.score > 0).alias("passages"))
 
 
 def score(docs: DataFrame, model: Lexicon) -> DataFrame:
     """(doc_id, score, passages) of every row."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    line = F.lit(model.slope) * F.col("statistic") + F.lit(model.intercept)
-    return _statistics(rows, model).select("doc_id", (1 / (1 + F.exp(-F.greatest(F.least(line, F.lit(60.0)), F.lit(-60.0))))).alias("score"), "passages")
+    line = F.lit(model.slope) * F.log1p("statistic") + F.lit(model.intercept)
+    told = 1 / (1 + F.exp(-F.greatest(F.least(line, F.lit(60.0)), F.lit(-60.0))))
+    return _statistics(rows, model).select("doc_id", F.when(F.col("statistic") > 0, told).otherwise(F.lit(model.none)).alias("score"), "passages")
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -52,7 +52,7 @@ def test_quality_votes(spark):
     rows, labels = labelled(spark)
     docs, table = frames(spark, rows + [(1000 + i, t) for i, t in odd_rows() if i is not None] + [(None, None)], labels)
     space = quality.train(docs, table)
-    got = {r.doc_id: r["__score"] for r in quality.score(docs, space).collect()}
+    got = {r.doc_id: r["votes"] for r in quality.score(docs, space, into="votes").collect()}
     assert all(0 <= s <= 1 for s in got.values())
     truth = {i: q for i, q, _ in labels if zlib.crc32(str(i).encode()) % 5 == 0}
     assert all((got[i] >= 0.3) == bool(q) for i, q in truth.items())
@@ -109,10 +109,37 @@ def test_toxic_passages(spark):
     for i, _, toxic in labels:
         assert (got[i].score >= 0.7) == bool(toxic)
         if toxic:
-            joined = "".join(texts[i].lower()[p.start : p.end] for p in got[i].passages)
+            joined = " ".join(texts[i][p.start : p.end] for p in got[i].passages)
             assert "vilebrut" in joined or "nastyfool" in joined
     assert all(got[1000 + i].score < 0.7 for i, _ in odd_rows() if i is not None)
     assert got[1103].score == got[1104].score == got[None].score and got[1103].passages == []
+    # the score of clean texts does not depend on their length
+    rng = random.Random(1)
+    clean = [(i, t) for i, t in enumerate(["", None, "river", prose(rng, 20), prose(rng, 240), prose(rng, 5000)])]
+    scores = [r.score for r in toxicity.score(documents(spark, clean), model).collect()]
+    assert set(scores) == {min(r.score for r in got.values())}
+    # a passage in a text that grows when it is lower-cased, and two passages against one
+    insult = "vilebrute nastyfool vilebrutish vilebrute nastyfool"
+    text = "İİİ " + prose(rng, 30) + " " + insult + " " + prose(rng, 400)
+    found = {r.doc_id: r for r in toxicity.score(documents(spark, [(1, text), (2, text + " " + insult)]), model).collect()}
+    assert any(insult in text[p.start : p.end] for p in found[1].passages) and len(found[2].passages) == 2
+    assert found[2].score >= found[1].score >= 0.7
+
+
+def test_statistics_of_segments():
+    lam, k = 0.7, 0.02
+    assert toxicity.text_statistic(np.array([]), 500, lam, k) == 0
+    for score, n in ((5.0, 100), (9.0, 1000), (1.0, 10000)):
+        expected = k * n * np.exp(-lam * score)
+        assert np.isclose(toxicity.text_statistic(np.array([score]), n, lam, k), -np.log(-np.expm1(-expected)))
+    one, two = (toxicity.text_statistic(np.array(s), 300, lam, k) for s in ([9.0, 0.5], [9.0, 9.0]))
+    normal = lam * 9.0 - np.log(k * 300)
+    assert one < two and np.isclose(two, 2 * normal - np.log(2 * normal) + np.log(2) - 2 * np.log(2))
+    # K comes back from draws of its own distribution
+    rng = np.random.default_rng(6)
+    n_words = rng.integers(20, 2000, 20000)
+    best = np.maximum(np.log(k * n_words / rng.exponential(size=20000)) / lam, 0)
+    assert abs(toxicity._background_k(best, n_words, lam) / k - 1) < 0.05
 
 
 @pytest.mark.parametrize("module, column", [(quality, "quality"), (toxicity, "toxic")])
@@ -120,10 +147,10 @@ def test_no_labels(spark, module, column):
     rows, _ = labelled(spark, 8)
     docs, table = frames(spark, rows, [])
     model = module.train(docs, table.where("doc_id is null"))
-    got = module.score(docs, model)
+    got = module.score(docs.select("doc_id", "text"), model)
     wanted = 0.5 if module is quality else 0.0
-    assert all(abs(r["__score" if module is quality else "score"] - wanted) < 1e-9 for r in got.collect())
-    assert module.score(documents(spark, []), model).count() == 0
+    assert all(abs(r.score - wanted) < 1e-9 for r in got.collect())
+    assert module.score(documents(spark, []).select("doc_id", "text"), model).count() == 0
 
 
 def test_language_by_held_out_accuracy(spark):
@@ -133,10 +160,34 @@ def test_language_by_held_out_accuracy(spark):
     assert len(got) > 200 and np.mean([r.lang == r.lang_pred for r in got]) > 0.97
     odd = {r.doc_id: r for r in language.predict(documents(spark, odd_rows()), net).collect()}
     assert all(odd[i].lang_pred == "und" and odd[i].score == 0 for i in (103, 104, 105))
+    marks = {r.doc_id: r.lang_pred for r in language.predict(documents(spark, [(1, "½ ² ① 12"), (2, "١٢ _ 5"), (3, "½ é"), (4, "5 日")]), net).collect()}
+    assert marks[1] == marks[2] == "und" and marks[3] in net.languages and marks[4] in net.languages
     assert odd[107].lang_pred in net.languages and all(0 <= r.score <= 1 for r in odd.values())
     assert language.predict(documents(spark, []), net).count() == 0
 
 
+def test_every_language_is_learnt(spark):
+    """A language for each of 230 alphabets of five letters; one row of each is enough to be known."""
+    rng = random.Random(3)
+    letters = [chr(c) for c in range(0x4E00, 0x4E00 + 5 * 230)]
+    rows = [(k, " ".join("".join(rng.choice(letters[5 * k : 5 * k + 5]) for _ in range(4)) for _ in range(60)), f"l{k}", "s") for k in range(230)]
+    ids = [i for i in range(2000) if zlib.crc32(str(i).encode()) % 3 != 1][:230]
+    net = language.train(documents(spark, [(i, *r[1:]) for i, r in zip(ids, rows, strict=True)]))
+    assert len(net.languages) == 230
+
+
+def test_pieces_come_from_all_places_of_a_text(spark, monkeypatch):
+    """The one stretch of a language that tells lies far inside a long text."""
+    seen = []
+    monkeypatch.setattr(language, "fit", lambda x, y, languages, seed: seen.append((x, y, languages)))
+    text = "aaaa " * 60000 + "zzzz " * 60000
+    language.train(documents(spark, [(0, text, "a", "s"), (2, "b " * 9000, "b", "s")]))
+    x, y, languages = seen[0]
+    own = x[y == languages.index("a")]
+    assert abs((own == language._CLASS[ord("z")]).any(axis=1).mean() - 0.5) < 0.1
+    assert len(own) <= 2 * language.MOST_EACH + 2
+
+
 def test_language_without_training(spark):
     assert language.train(documents(spark, [(0, "text", None, "s"), (3, None, "en", "s")])) is None
     assert {r.lang_pred for r in language.predict(documents(spark, [(0, "text")]), None).collect()} == {"und"}
@@ -157,11 +208,11 @@ def test_network_gathers_equal_a_plain_convolution():
 def test_held_out_rows_of_the_tables(spark, module, column, fold, out):
     docs, labels = common.table(spark, "/root/testdata/sf0.1", "documents"), common.table(spark, "/root/testdata/sf0.1", "labels")
     model = module.train(docs.select("doc_id", "text"), labels)
-    name = "__score" if module is quality else "score"
-    got = module.score(docs.select("doc_id", "text"), model).join(labels, "doc_id").where(common.fold(F.col("doc_id"), fold[0]) == fold[1]).select(F.col(name).alias("s"), F.col(column).alias("y")).collect()
+    got = module.score(docs.select("doc_id", "text"), model).join(labels, "doc_id").where(common.fold(F.col("doc_id"), fold[0]) == fold[1]).select(F.col("score").alias("s"), F.col(column).alias("y")).collect()
     s, y = np.array([r.s for r in got]), np.array([r.y for r in got])
     order = np.argsort(np.argsort(s, kind="stable"))
     area = (order[y == 1].mean() - (y.sum() - 1) / 2) / (len(y) - y.sum())
+    print(f"{column}: area {area:.4f} over {len(y)} held-out rows")
     assert area > out
 
 
@@ -180,5 +231,5 @@ def test_one_document_of_each_sampled_id(spark):
     assert [r.doc_id for r in clash] == [at]
     space = quality.train(many, table)
     assert len(space.labels) == len(quality.train(docs, table).labels)
-    words = [samples.with_labels(d, sample) for d in (docs, many)]
+    words = [samples.with_labels(d, sample).withColumn("part", F.lit(0)) for d in (docs, many)]
     assert sorted(toxicity._class_counts(words[0]).collect()) == sorted(toxicity._class_counts(words[1]).collect())
