@@ -30,7 +30,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from coffer.llm.common import columns_of, fresh, materialize, table
+from coffer.llm.common import columns_of, fresh, materialize, spread_join, table
 
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = "A-Za-z0-9._%+-"
@@ -161,9 +161,11 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, disclosure: float, remov
     mentions = spans.select("row", "print", F.explode(named).alias("e")).select("row", "print", "e.entity", "e.owned").distinct()
     least = F.when(F.col("owned"), F.lit(owner_support)).otherwise(F.lit(value_support))
     entities = mentions.groupBy("entity", "owned", "print").agg(F.count("*").alias("n")).groupBy("entity", "owned").agg(F.sum("n").alias("df_e"), F.count("*").alias("support"))
-    entities = entities.where(F.col("support") >= least).select("entity", "df_e")
-    mentions = materialize(mentions.join(entities, "entity").select("row", "entity", "owned", "df_e"), "mentions")
-    held = found.where(F.size("spans") > 0).join(mentions.select("row").distinct(), "row", "left_semi")
+    entities = materialize(entities.where(F.col("support") >= least).select("entity", "df_e", F.col("df_e").alias("n")), "entities")
+    # an owner may stand in a large share of the documents
+    mentions = materialize(spread_join(mentions, entities, "entity").select("row", "entity", "owned", "df_e"), "mentions")
+    # texts with spans may crowd in a few files
+    held = found.where(F.size("spans") > 0).join(mentions.select("row").distinct(), "row", "left_semi").repartition("row")
     places = materialize(_occurrences(held), "places")
     # as df_te <= df_e, a term of more documents than this cannot tell enough of the entity
     n = F.lit(float(max(total, 1)))
