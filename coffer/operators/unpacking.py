@@ -25,10 +25,11 @@ def default_output(inputs: DataFrame) -> DataFrame:
 
 
 def plan(entries: DataFrame, existing: DataFrame, free_bytes: Column, policy: str = "onlyMultipleTopLevel", password: bool = False, umask: int = 0o022) -> DataFrame:
-    """(path, entry_index, target, is_directory, mode, error_code) of everything an extraction would write.
+    """(path, entry_index, target, is_directory, mode, modified, error_code) of everything an extraction would write.
 
-    ``entries`` need name, flags, method, sizes and attributes; ``existing``
-    (name) lists the destination. A refused archive gives one row with its
+    ``entries`` need name, flags, method, sizes and attributes, and have dos_time
+    and dos_date where times are to be kept; ``existing`` (name) lists the
+    destination. A refused archive gives one row with its
     error_code and no target. Targets are unique and never name anything that
     exists; the wrapper is named after the archive.
     """
@@ -58,6 +59,8 @@ def plan(entries: DataFrame, existing: DataFrame, free_bytes: Column, policy: st
     rest = F.expr("substring(inner, length(split(inner, '/')[0]) + 1)")
     target = F.when(F.col("wrap"), F.concat("final", F.lit("/"), "inner")).otherwise(F.concat("final", rest))
     mode = A.extracted_mode(F.col("mode"), F.col("is_directory"), umask)
-    work = placed.select("path", "entry_index", F.regexp_replace(target, "/$", "").alias("target"), "is_directory", mode.alias("mode"), F.lit(None).cast("string").alias("error_code"))
-    empty = refused.select("path", F.lit(None).cast(dict(work.dtypes)["entry_index"]).alias("entry_index"), F.lit(None).cast("string").alias("target"), F.lit(None).cast("boolean").alias("is_directory"), F.lit(None).cast("int").alias("mode"), "error_code")
+    timed = {"dos_time", "dos_date"} <= set(entries.columns)
+    modified = A.from_dos(F.col("dos_date"), F.col("dos_time")) if timed else F.lit(None).cast("timestamp_ntz")
+    work = placed.select("path", "entry_index", F.regexp_replace(target, "/$", "").alias("target"), "is_directory", mode.alias("mode"), modified.alias("modified"), F.lit(None).cast("string").alias("error_code"))
+    empty = refused.select("path", F.lit(None).cast(dict(work.dtypes)["entry_index"]).alias("entry_index"), F.lit(None).cast("string").alias("target"), F.lit(None).cast("boolean").alias("is_directory"), F.lit(None).cast("int").alias("mode"), F.lit(None).cast("timestamp_ntz").alias("modified"), "error_code")
     return work.unionByName(empty)

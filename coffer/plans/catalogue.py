@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import re
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -278,10 +280,12 @@ def q27_compressibility_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _scratch(spark: SparkSession) -> str:
-    """A new folder that driver and executors share, for archives that a query writes."""
-    import tempfile
-
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="coffer-")
+    """A new folder that driver and executors share, for archives that a query writes; only a ``local`` master may go without."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is not set; it has to name a folder that the driver and all executors share")
+        found = tempfile.mkdtemp(prefix="coffer-")
     return f"{found.removeprefix('file://').removeprefix('file:').rstrip('/')}/archives-{uuid.uuid4().hex}"
 
 

@@ -67,16 +67,39 @@ def pack_items(found: DataFrame, clean: bool = True) -> DataFrame:
     return kept.mapInArrow(read, "archive string, entry_index long, name string, content binary, dos_time int, dos_date int")
 
 
+def _move_into(staging: str, destination: str) -> list[str]:
+    """Move all top items of ``staging``; if one cannot be, those already moved go back."""
+    tops = sorted(os.listdir(staging))
+    for top in tops:
+        if os.path.lexists(f"{destination}/{top}"):
+            raise FileExistsError(f"{destination}/{top}")
+    moved = []
+    try:
+        for top in tops:
+            if os.path.lexists(f"{destination}/{top}"):
+                raise FileExistsError(f"{destination}/{top}")
+            os.rename(f"{staging}/{top}", f"{destination}/{top}")
+            moved.append(top)
+    except OSError:
+        for top in moved:
+            os.rename(f"{destination}/{top}", f"{staging}/{top}")
+        raise
+    return tops
+
+
 def extract(contents: DataFrame, plan: DataFrame, destination: str) -> list[str]:
-    """Write the planned entries below ``destination``; the top items made.
+    """Write the planned entries below ``destination``, with their modes and times; the top items made.
 
     All entries go to a hidden staging folder first and move into place after
-    the last one is written; an error removes the staging folder and touches
-    nothing else. ``contents`` has status and content of the planned entries.
+    the last one is written; an error removes the staging folder and what has
+    been moved, and touches nothing else. Times without a zone are those of the
+    machine; impossible ones stay the time of writing. ``contents`` has status and
+    content of the planned entries.
     """
     staging = f"{destination}/.{uuid.uuid4().hex}.part"
     os.makedirs(staging)
-    work = plan.where(F.col("error_code").isNull()).join(contents.select("path", "entry_index", "content", "status", F.col("error_code").alias("failure")), ["path", "entry_index"])
+    planned = plan.where(F.col("error_code").isNull())
+    work = planned.join(contents.select("path", "entry_index", "content", "status", F.col("error_code").alias("failure")), ["path", "entry_index"])
 
     def write(rows: Iterator[Row]) -> None:
         for r in rows:
@@ -92,16 +115,18 @@ def extract(contents: DataFrame, plan: DataFrame, destination: str) -> list[str]
                 f.write(bytes(r.content))
             if r["mode"] is not None:
                 os.chmod(part, r["mode"])
+            if r.modified is not None:
+                os.utime(part, (r.modified.timestamp(),) * 2)
             os.replace(part, place)
 
+    def date_folders(rows: Iterator[Row]) -> None:
+        for r in rows:
+            os.utime(f"{staging}/{r.target}", (r.modified.timestamp(),) * 2)
+
     try:
         work.foreachPartition(write)
-        made = []
-        for top in sorted(os.listdir(staging)):
-            if os.path.lexists(f"{destination}/{top}"):
-                raise FileExistsError(f"{destination}/{top}")
-            os.rename(f"{staging}/{top}", f"{destination}/{top}")
-            made.append(top)
-        return made
+        # a folder's own time goes on when nothing is written into it any more
+        planned.where("is_directory and modified is not null").select("target", "modified").foreachPartition(date_folders)
+        return _move_into(staging, destination)
     finally:
         shutil.rmtree(staging, ignore_errors=True)

@@ -1,5 +1,6 @@
 """Packing a folder and unpacking it again, with the refusals in between."""
 
+import datetime
 import os
 import zipfile
 
@@ -80,6 +81,46 @@ def test_failed_extraction_leaves_nothing(spark, tmp_path):
     assert not os.listdir(target)
 
 
+def test_extraction_keeps_times(spark, tmp_path):
+    archives.register(spark)
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "sub").mkdir()
+    (tmp_path / "in" / "sub" / "a.txt").write_text("text")
+    stamp = datetime.datetime(2021, 3, 4, 5, 6, 8).timestamp()
+    for place in ("in/sub/a.txt", "in/sub", "in"):
+        os.utime(tmp_path / place, (stamp, stamp))
+    (tmp_path / "zips").mkdir()
+    archives.write_archives(trees.pack_items(trees.scan(spark, [str(tmp_path / "in")], "x.zip")), str(tmp_path / "zips"))
+    entries = decoded(spark, tmp_path / "zips")
+    out = tmp_path / "out"
+    out.mkdir()
+    plan = unpacking.plan(entries, spark.createDataFrame([], "name string"), F.lit(1 << 40).cast("long"))
+    assert trees.extract(archives.read_contents(entries), plan, str(out)) == ["in"]
+    assert {os.stat(out / place).st_mtime for place in ("in/sub/a.txt", "in/sub", "in")} == {stamp}
+
+
+def test_moves_are_undone(tmp_path, monkeypatch):
+    staging, out = tmp_path / "staging", tmp_path / "out"
+    for folder in (staging, out, staging / "a", staging / "b"):
+        folder.mkdir()
+    (out / "b").mkdir()
+    with pytest.raises(FileExistsError):
+        trees._move_into(str(staging), str(out))
+    assert sorted(os.listdir(out)) == ["b"] and sorted(os.listdir(staging)) == ["a", "b"]
+    (out / "b").rmdir()
+    rename = os.rename
+
+    def failing(source, target):
+        if source.endswith("staging/b"):
+            raise OSError("no room")
+        rename(source, target)
+
+    monkeypatch.setattr(trees.os, "rename", failing)
+    with pytest.raises(OSError, match="no room"):
+        trees._move_into(str(staging), str(out))
+    assert os.listdir(out) == [] and sorted(os.listdir(staging)) == ["a", "b"]
+
+
 def test_routing(spark):
     df = spark.createDataFrame([(1, "a.zip"), (1, "b.ZIP"), (2, "a.zip"), (2, "c.txt"), (3, "dir/report.pdf")], "request int, path string")
     assert {r.request: r.unpack for r in unpacking.wants_unpacking(df).collect()} == {1: True, 2: False, 3: False}
