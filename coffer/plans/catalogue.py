@@ -205,7 +205,8 @@ def q20_utf8_flag_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("conv_id", "turn", "name", F.when(N.needs_utf8_flag(F.col("name")), 2048).otherwise(0).alias("flags"), F.octet_length("name").cast("long").alias("name_bytes"))
 
 
-_STORED = ", ".join(f"'{x}'" for x in N.STORED_EXTENSIONS)
+# The extensions that are stored, stated apart from the column function.
+_STORED = ", ".join(f"'{x}'" for x in "zip gz tgz bz2 xz 7z rar jpg jpeg png gif webp heic heif avif mp4 mov m4v mp3 m4a aac opus".split())
 
 
 @_query(f"""WITH {V.URLS_SQL}, made AS (SELECT page_id, name || CASE page_id % 4 WHEN 0 THEN '.JPG' WHEN 1 THEN '.tar.gz' WHEN 2 THEN '.html' ELSE '' END AS name FROM E_url)
@@ -265,7 +266,16 @@ def q25_space_budget_refusals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.refusals(open_, F.lit(67_200_000).cast("long")).withColumn("required", F.col("required").cast("long"))
 
 
-@_query()
+def _crc_steps() -> list[int]:
+    """What each low byte does to a CRC-32, from its reflected polynomial."""
+    steps = list(range(256))
+    for _ in range(8):
+        steps = [c >> 1 ^ (0xEDB88320 if c & 1 else 0) for c in steps]
+    return steps
+
+
+@_query(f"""WITH {V.DOCUMENTS_SQL}, octets AS (SELECT path, entry_index, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: CAST('0x' || x AS BIGINT)) AS octets FROM E_docs)
+SELECT path, entry_index, xor(4294967295, list_reduce(octets, lambda c, x: xor(c >> 8, list_extract({_crc_steps()}, xor(c & 255, x) + 1)), 4294967295)) AS crc32 FROM octets""")
 def q26_crc32_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.documents_view(spark, sf_dir).select("path", "entry_index", F.crc32(F.col("text").cast("binary")).alias("crc32"))
 
@@ -313,12 +323,21 @@ def q28_zip_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _roundtrip(spark, sf_dir, None)
 
 
-@_query()
+#: Well-formed UTF-8 as pairs of hexadecimal digits, by the table of the Unicode standard.
+_UTF8_HEX = "(([0-7].)|(C[2-9A-F]|D.)[89AB].|E0[AB].[89AB].|(E[1-9A-CEF])([89AB].){2}|ED[89].[89AB].|F0[9AB].([89AB].){2}|F[1-3]([89AB].){3}|F48.([89AB].){2})*"
+
+
+# 89EF 9862 are the two characters in CP932.
+@_query(f"""WITH named AS (SELECT role AS path, row_number() OVER (PARTITION BY role ORDER BY conv_id, turn) - 1 AS entry_index, ' ' || conv_id || '-' || turn || '.txt' AS tail FROM conversations),
+raws AS (SELECT *, CASE WHEN path = 'user' THEN '89EF9862' ELSE hex(encode('会話')) END || hex(encode(tail)) AS raw FROM named),
+archives AS (SELECT path, CASE WHEN bool_and(regexp_full_match(raw, '{_UTF8_HEX}')) THEN 'utf8' ELSE 'cp932' END AS detected_encoding FROM raws GROUP BY path),
+decoded AS (SELECT path, entry_index, detected_encoding, tail, decode(unhex(CASE WHEN detected_encoding = 'cp932' AND starts_with(raw, '89EF9862') THEN hex(encode('会話')) || raw[9:] ELSE raw END)) AS name FROM raws JOIN archives USING (path))
+SELECT path, entry_index, detected_encoding, name, name = '会話' || tail AS restored FROM decoded""")
 def q29_encoding_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     order = Window.partitionBy("role").orderBy("conv_id", "turn")
     named = F.concat(F.lit("会話 "), "conv_id", F.lit("-"), "turn", F.lit(".txt"))
-    e = c.select(F.col("role").alias("path"), (F.row_number().over(order) - 1).alias("entry_index"), named.alias("original"))
+    e = c.select(F.col("role").alias("path"), (F.row_number().over(order) - 1).cast("long").alias("entry_index"), named.alias("original"))
     raw = F.when(F.col("path") == "user", N.cp932_encode(F.col("original"))).otherwise(F.col("original").cast("binary"))
     return L.decoded_names(e.withColumn("raw_name", raw).withColumn("flags", F.lit(0))).select("path", "entry_index", "detected_encoding", "name", (F.col("name") == F.col("original")).alias("restored"))
 
