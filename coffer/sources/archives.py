@@ -12,7 +12,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.types import Row
@@ -36,12 +36,14 @@ def _open(path: str):
     return file, file.size()
 
 
-def _files(path: str) -> list[str]:
+def _files(path: str, glob: str = "*") -> list[str]:
+    from fnmatch import fnmatchcase
+
     from pyarrow import fs
 
     system, inner = (fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path))
     if system.get_file_info(inner).type == fs.FileType.Directory:
-        found = [i.path for i in system.get_file_info(fs.FileSelector(inner, recursive=True)) if i.is_file and i.path.lower().endswith(".zip")]
+        found = [i.path for i in system.get_file_info(fs.FileSelector(inner, recursive=True)) if i.is_file and i.path.lower().endswith(".zip") and fnmatchcase(i.base_name, glob)]
         return sorted(path[: len(path) - len(inner)] + p for p in found)
     return [path]
 
@@ -51,17 +53,34 @@ class _Archive(InputPartition):
     path: str
 
 
+#: Directory records in one Arrow batch.
+BATCH = 8192
+
+
+def _entry_batch(path: str, found: list[dict], error_code: str | None = None) -> pa.RecordBatch:
+    """Rows of the entries schema; sizes are unsigned 64-bit numbers and become decimals."""
+    kinds = pa.struct([("kind", pa.string()), ("strength_bits", pa.int32()), ("vendor_version", pa.int32()), ("actual_method", pa.int32())])
+    small = ["entry_index", "flags", "method_raw", "dos_time", "dos_date", "version_made_by"]
+    columns = {k: pa.array([e[k] for e in found], pa.int32()) for k in small} | {k: pa.array([e[k] for e in found], pa.int64()) for k in ("crc32", "external_attributes")}
+    columns |= {k: pa.array([e[k] for e in found], pa.uint64()).cast(pa.decimal128(20, 0)) for k in ("compressed_size", "uncompressed_size", "local_header_offset")}
+    columns |= {"path": pa.array([path] * len(found)), "raw_name": pa.array([e["raw_name"] for e in found], pa.binary())}
+    columns |= {"encryption": pa.array([e["encryption"] for e in found], kinds), "error_code": pa.array([error_code] * len(found), pa.string())}
+    names = [field.split(" ")[0] for field in ENTRIES.replace("(20,0)", "").split(", ")]
+    return pa.RecordBatch.from_arrays([columns[n] for n in names], names=names)
+
+
+_REFUSED = dict.fromkeys(("entry_index", "flags", "method_raw", "dos_time", "dos_date", "version_made_by", "crc32", "external_attributes", "compressed_size", "uncompressed_size", "local_header_offset", "raw_name", "encryption"))
+
+
 class _EntriesReader(DataSourceReader):
     def __init__(self, options: dict):
         self.path, self.permissive = options["path"], options.get("mode", "FAILFAST").upper() == "PERMISSIVE"
+        self.glob = options.get("pathGlobFilter", "*")
 
     def partitions(self) -> list[InputPartition]:
-        return [_Archive(p) for p in _files(self.path)]
+        return [_Archive(p) for p in _files(self.path, self.glob)]
 
-    def read(self, part: _Archive) -> Iterator[Row]:
-        from decimal import Decimal
-
-        wide = ("compressed_size", "uncompressed_size", "local_header_offset")
+    def read(self, part: _Archive) -> Iterator[pa.RecordBatch]:
         try:
             file, length = _open(part.path)
             with file:
@@ -69,16 +88,17 @@ class _EntriesReader(DataSourceReader):
         except Z.ZipError as e:
             if not self.permissive:
                 raise
-            yield Row(path=part.path, entry_index=None, raw_name=None, flags=None, method_raw=None, dos_time=None, dos_date=None, crc32=None, compressed_size=None, uncompressed_size=None, local_header_offset=None, external_attributes=None, version_made_by=None, encryption=None, error_code=e.code)
+            yield _entry_batch(part.path, [_REFUSED], e.code)
             return
-        for e in found:
-            yield Row(path=part.path, **(e | {k: Decimal(e[k]) for k in wide} | {"encryption": Row(**e["encryption"])}), error_code=None)
+        for at in range(0, len(found), BATCH):
+            yield _entry_batch(part.path, found[at : at + BATCH])
 
 
 class ZipEntries(DataSource):
     """``spark.read.format("zip_entries").load(path)``: one row for each directory record, one task for each archive.
 
-    ``path`` is an archive or a folder of them. With ``mode`` PERMISSIVE a
+    ``path`` is an archive or a folder of them, of which ``pathGlobFilter``
+    chooses by file name without opening the others. With ``mode`` PERMISSIVE a
     refused archive gives one row with its error_code and no entries.
     """
 
@@ -93,8 +113,8 @@ class ZipEntries(DataSource):
         return _EntriesReader(self.options)
 
 
-def entry_content(file, e: dict, password: str | None) -> tuple[bytes, int]:
-    """(content, crc) of one entry, or a ZipError."""
+def entry_pieces(file, e: dict, password: str | None) -> Iterator[bytes]:
+    """The content of one entry in bounded pieces; a ZipError as soon as it shows, size and CRC after the last piece."""
     kind, method = e["encryption"]["kind"], e["method_raw"]
     actual = e["encryption"]["actual_method"] if kind == "aes" else method
     if actual not in (0, 8):
@@ -115,25 +135,30 @@ def entry_content(file, e: dict, password: str | None) -> tuple[bytes, int]:
         body = ciphers.aes_opened(chunks, at, left, password, e["encryption"]["strength_bits"] // 8)
     else:
         body = chunks(at, left)
-    out, crc = [], 0
+    size, crc = 0, 0
     for piece in Z.inflate_bounded(body, actual, int(e["uncompressed_size"])):
-        crc = zlib.crc32(piece, crc)
-        out.append(piece)
+        size, crc = size + len(piece), zlib.crc32(piece, crc)
+        yield piece
     for _ in body:  # the authentication code stands at the end
         pass
-    content = b"".join(out)
-    if len(content) != e["uncompressed_size"]:
+    if size != e["uncompressed_size"]:
         raise Z.ZipError("corrupt", "size mismatch")
     if not (kind == "aes" and e["encryption"]["vendor_version"] >= 2) and crc != e["crc32"]:
         raise Z.ZipError("crcMismatch")
-    return content, crc
+
+
+def entry_content(file, e: dict, password: str | None) -> tuple[bytes, int]:
+    """(content, crc) of one entry, or a ZipError."""
+    content = b"".join(entry_pieces(file, e, password))
+    return content, zlib.crc32(content)
 
 
 def read_contents(entries: DataFrame, password: str | None = None, max_bytes: int = 1 << 30) -> DataFrame:
     """Payloads of the given entries; filter entries first, only theirs are read.
 
     Each row tells its own outcome: status ok, directory, or error with the
-    code. Entries that declare more than ``max_bytes`` are not read into a row.
+    code. Entries that declare more than ``max_bytes`` are not read into a row;
+    :func:`read_chunks` reads entries of any size.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,56 +186,163 @@ def read_contents(entries: DataFrame, password: str | None = None, max_bytes: in
     return entries.mapInArrow(run, CONTENTS)
 
 
+CHUNKS = "path string, entry_index int, chunk_index long, content binary, is_last boolean, error_code string"
+
+
+def read_chunks(entries: DataFrame, password: str | None = None, chunk_bytes: int = 8 << 20) -> DataFrame:
+    """Payloads of the given files of any size, as rows of at most ``chunk_bytes`` numbered from 0.
+
+    An entry is whole if its row with ``is_last`` has no error_code; size, CRC
+    and authentication code are checked by then. A failed entry ends with a
+    row that has the code and no content, and what came before is void.
+    Folders give no row, refused archives one. An empty file has one empty chunk.
+    """
+    schema = pa.schema([("path", pa.string()), ("entry_index", pa.int32()), ("chunk_index", pa.int64()), ("content", pa.binary()), ("is_last", pa.bool_()), ("error_code", pa.string())])
+
+    def chunks(file, e: dict) -> Iterator[bytes]:
+        held, size = [], 0
+        for piece in entry_pieces(file, e, password):
+            while size + len(piece) > chunk_bytes:
+                cut = chunk_bytes - size
+                yield b"".join([*held, piece[:cut]])
+                held, size, piece = [], 0, piece[cut:]
+            held.append(piece)
+            size += len(piece)
+        yield b"".join(held)
+
+    def rows(e: dict, opened: dict) -> Iterator[tuple]:
+        held, n = None, 0
+        try:
+            if e["raw_name"] is None:
+                raise Z.ZipError(e.get("error_code") or "corrupt")
+            if e["path"] not in opened:
+                for file in opened.values():
+                    file.close()
+                opened.clear()
+                opened[e["path"]] = _open(e["path"])[0]
+            for chunk in chunks(opened[e["path"]], e):
+                if held is not None:
+                    yield n, held, False, None
+                    n += 1
+                held = chunk
+            yield n, held, True, None
+        except Z.ZipError as error:
+            yield n, None, True, error.code
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        opened: dict = {}
+        for batch in batches:
+            for e in batch.to_pylist():
+                if e["raw_name"] is None or not e["raw_name"].endswith(b"/"):
+                    for row in rows(e, opened):
+                        yield pa.RecordBatch.from_pylist([dict(zip(schema.names, (e["path"], e["entry_index"], *row), strict=True))], schema)
+
+    return entries.mapInArrow(run, CHUNKS)
+
+
 @dataclass
 class _Written(WriterCommitMessage):
     parts: list[tuple[str, str]]
 
 
+class _Assembly:
+    """One archive on its way to a part file; an entry is one row, or several blocks in order."""
+
+    def __init__(self, place: str, password: str | None):
+        self.file, self.password = open(place, "xb"), password
+        self.central, self.offset, self.names, self.started = [], 0, set(), None
+
+    def take(self, r: Row) -> None:
+        if self.started is None and r.block == 0 and r.is_last:
+            self._whole(r)
+        else:
+            self._block(r)
+
+    def _name(self, r: Row) -> bytes:
+        raw = bytes(r.raw_name)
+        if len(raw) > 65535 or raw in self.names:
+            raise ValueError(f"name too long or twice in {r.archive}: {raw[:80]!r}")
+        self.names.add(raw)
+        return raw
+
+    def _whole(self, r: Row) -> None:
+        raw, payload, method, flags, extra, crc = self._name(r), bytes(r.payload), r.method, r.flags, b"", r.crc32
+        if self.password is not None and not raw.endswith(b"/"):
+            payload, extra = ciphers.aes_sealed(payload, self.password, method)
+            method, flags, crc = 99, flags | 1, 0
+        header = Z.local_header(raw, flags, method, r.dos_time, r.dos_date, crc, len(payload), r.size, extra)
+        self.file.write(header)
+        self.file.write(payload)
+        self.central.append(Z.central_record(raw, flags, method, r.dos_time, r.dos_date, crc, len(payload), r.size, self.offset, raw.endswith(b"/"), extra))
+        self.offset += len(header) + len(payload)
+
+    def _block(self, r: Row) -> None:
+        if self.started is None:
+            if self.password is not None:
+                raise ValueError("entries in blocks cannot be encrypted")
+            raw = self._name(r)
+            # sizes and CRC are known after the last block, when the header is written over
+            header = Z.local_header(raw, r.flags, r.method, r.dos_time, r.dos_date, 0, 0, 0, wide=True)
+            self.file.write(header)
+            self.started = {"entry": r.entry_index, "raw": raw, "next": 0, "crc": 0, "packed": 0, "full": 0, "header": len(header)}
+        on = self.started
+        if (r.entry_index, r.block) != (on["entry"], on["next"]):
+            raise ValueError(f"{r.archive}: entry {on['entry']} lacks block {on['next']}")
+        self.file.write(r.payload)
+        on.update(next=r.block + 1, crc=Z.crc_of_both(on["crc"], r.crc32, r.size), packed=on["packed"] + len(r.payload), full=on["full"] + r.size)
+        if r.is_last:
+            values = on["raw"], r.flags, r.method, r.dos_time, r.dos_date, on["crc"], on["packed"], on["full"]
+            self.file.seek(self.offset)
+            self.file.write(Z.local_header(*values, wide=True))
+            self.file.seek(0, os.SEEK_END)
+            self.central.append(Z.central_record(*values, self.offset, False))
+            self.offset, self.started = self.offset + on["header"] + on["packed"], None
+
+    def close(self) -> None:
+        if self.started is not None:
+            raise ValueError(f"entry {self.started['entry']} lacks block {self.started['next']}")
+        directory = b"".join(self.central)
+        self.file.write(directory + Z.end_records(len(self.central), len(directory), self.offset))
+        self.file.close()
+
+
 class _ZipWriter(DataSourceWriter):
     def __init__(self, options: dict, overwrite: bool):
+        import uuid
+
         self.folder, self.overwrite = options["path"], overwrite
-        self.password = options.get("password")
+        self.password, self.job = options.get("password"), uuid.uuid4().hex
 
     def write(self, rows: Iterator[Row]) -> _Written:
-        """Archives of this partition, each to a name of its own attempt; rows come sorted by archive and entry."""
+        """Archives of this partition, each to a name of its own attempt; rows come sorted by archive, entry and block."""
         import uuid
 
         os.makedirs(self.folder, exist_ok=True)
-        parts, current, file, central, offset, names = [], None, None, [], 0, set()
-
-        def close() -> None:
-            directory = b"".join(central)
-            file.write(directory + Z.end_records(len(central), len(directory), offset))
-            file.close()
-
+        parts, current, made = [], None, None
         try:
             for r in rows:
                 if r.archive != current:
-                    if file:
-                        close()
-                    current, central, offset, names = r.archive, [], 0, set()
-                    parts.append((f"{self.folder}/.{uuid.uuid4().hex}.part", f"{self.folder}/{current}"))
-                    file = open(parts[-1][0], "xb")
-                raw = bytes(r.raw_name)
-                if len(raw) > 65535 or raw in names:
-                    raise ValueError(f"name too long or twice in {current}: {raw[:80]!r}")
-                names.add(raw)
-                payload, method, flags, extra, crc = bytes(r.payload), r.method, r.flags, b"", r.crc32
-                if self.password is not None and not raw.endswith(b"/"):
-                    payload, extra = ciphers.aes_sealed(payload, self.password, method)
-                    method, flags, crc = 99, flags | 1, 0
-                header = Z.local_header(raw, flags, method, r.dos_time, r.dos_date, crc, len(payload), r.size, extra)
-                file.write(header)
-                file.write(payload)
-                central.append(Z.central_record(raw, flags, method, r.dos_time, r.dos_date, crc, len(payload), r.size, offset, raw.endswith(b"/"), extra))
-                offset += len(header) + len(payload)
-            if file:
-                close()
+                    if made:
+                        made.close()
+                    current = r.archive
+                    parts.append((f"{self.folder}/.{self.job}.{uuid.uuid4().hex}.part", f"{self.folder}/{current}"))
+                    made = _Assembly(parts[-1][0], self.password)
+                made.take(r)
+            if made:
+                made.close()
         except BaseException:
-            self.abort([_Written(parts)])
+            for part, _ in parts:
+                if os.path.exists(part):
+                    os.unlink(part)
             raise
         return _Written(parts)
 
+    def _sweep(self) -> None:
+        """Remove the job's parts that are left, those of killed attempts among them."""
+        for name in os.listdir(self.folder) if os.path.isdir(self.folder) else ():
+            if name.startswith(f".{self.job}."):
+                os.unlink(f"{self.folder}/{name}")
+
     def commit(self, messages: list[_Written]) -> None:
         done = []
         for part, target in sorted(p for m in messages if m for p in m.parts):
@@ -222,16 +354,14 @@ class _ZipWriter(DataSourceWriter):
                 except FileExistsError:
                     for made in done:
                         os.unlink(made)
-                    self.abort(messages)
+                    self._sweep()
                     raise
                 os.unlink(part)
             done.append(target)
+        self._sweep()
 
     def abort(self, messages: list[_Written]) -> None:
-        for m in messages:
-            for part, _ in m.parts if m else ():
-                if os.path.exists(part):
-                    os.unlink(part)
+        self._sweep()
 
 
 class ZipArchives(DataSource):
@@ -248,38 +378,80 @@ class ZipArchives(DataSource):
         return _ZipWriter(self.options, overwrite)
 
 
-PACKED = "archive string, entry_index long, raw_name binary, flags int, method int, dos_time int, dos_date int, crc32 long, size long, payload binary"
+PACKED = "archive string, entry_index long, block long, is_last boolean, raw_name binary, flags int, method int, dos_time int, dos_date int, crc32 long, size long, payload binary"
 HEAD, WORTHWHILE = 256 << 10, 0.97
 
 
-def compress(items: DataFrame, clean: bool = True) -> DataFrame:
-    """Packed rows of (archive, entry_index, name, content, dos_time, dos_date): method by extension and probe, raw deflate, CRC.
-
-    A file is stored if it is empty, if its extension says it is compressed, or
-    if its first 256 KiB do not deflate below 0.97 of their size.
-    """
+def _packed_rows(items: DataFrame, clean: bool, name_encoding: str, block: Column, is_last: Column, stored: Column) -> DataFrame:
+    """Rows of the sink before compression: encoded names and flags, method by extension, CRC and size of the content."""
     from coffer.functions import names as N
 
+    if name_encoding not in ("utf8", "cp932"):
+        raise ValueError(f"name_encoding {name_encoding!r}")
     rows = items.where(~N.is_junk(F.col("name"))) if clean else items
-    name = N.nfc(F.col("name"))
-    rows = rows.select(
-        "archive", F.col("entry_index").cast("long").alias("entry_index"), name.cast("binary").alias("raw_name"), F.when(N.needs_utf8_flag(name), 2048).otherwise(0).alias("flags"),
-        F.when(N.stored_by_extension(F.col("name")) | F.col("name").endswith("/"), 0).otherwise(8).alias("method"), F.col("dos_time").cast("int").alias("dos_time"), F.col("dos_date").cast("int").alias("dos_date"),
+    if name_encoding == "utf8":
+        name = N.nfc(F.col("name"))
+        raw, flags = name.cast("binary"), F.when(N.needs_utf8_flag(name), 2048).otherwise(0)
+    else:
+        code = N.cp932_encode(F.col("name"))
+        raw, flags = F.when(code.isNotNull(), code).otherwise(F.raise_error(F.concat(F.lit("no CP932 form of name: "), "name"))), F.lit(0)
+    kept = N.stored_by_extension(F.col("name")) | F.col("name").endswith("/") | stored
+    return rows.select(
+        "archive", F.col("entry_index").cast("long").alias("entry_index"), block.cast("long").alias("block"), is_last.alias("is_last"), raw.alias("raw_name"), flags.alias("flags"),
+        F.when(kept, 0).otherwise(8).alias("method"), F.col("dos_time").cast("int").alias("dos_time"), F.col("dos_date").cast("int").alias("dos_date"),
         F.crc32("content").alias("crc32"), F.octet_length("content").cast("long").alias("size"), F.col("content").cast("binary").alias("payload"),
     )
 
+
+def _replaced(batch: pa.RecordBatch, methods: list[int], payloads: list[bytes]) -> pa.RecordBatch:
+    columns = dict(zip(batch.schema.names, batch.columns, strict=True)) | {"method": pa.array(methods, pa.int32()), "payload": pa.array(payloads, pa.binary())}
+    return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+
+def compress(items: DataFrame, clean: bool = True, name_encoding: str = "utf8") -> DataFrame:
+    """Packed rows of (archive, entry_index, name, content, dos_time, dos_date): method by extension and probe, raw deflate, CRC.
+
+    A file is stored if it is empty, if its extension says it is compressed, or
+    if its first 256 KiB do not deflate below 0.97 of their size. Names are NFC,
+    in UTF-8 with its flag where they need it, or in CP932 without a flag,
+    where a name that CP932 cannot express is an error.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            methods, payloads = batch.column(4).to_pylist(), batch.column(9).to_pylist()
+            methods, payloads = batch.column("method").to_pylist(), batch.column("payload").to_pylist()
             for i, (method, body) in enumerate(zip(methods, payloads, strict=True)):
                 if method == 8 and not worthwhile(body):
                     methods[i] = 0
                 elif method == 8:
                     engine = zlib.compressobj(6, zlib.DEFLATED, -15)
                     payloads[i] = engine.compress(body) + engine.flush()
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(methods, pa.int32()), *batch.columns[5:9], pa.array(payloads, pa.binary())], names=batch.schema.names)
+            yield _replaced(batch, methods, payloads)
+
+    return _packed_rows(items, clean, name_encoding, F.lit(0), F.lit(True), F.lit(False)).mapInArrow(run, PACKED)
 
-    return rows.mapInArrow(run, PACKED)
+
+def compress_blocks(blocks: DataFrame, clean: bool = True, name_encoding: str = "utf8") -> DataFrame:
+    """Packed rows of files cut into blocks: (archive, entry_index, block, is_last, name, content, dos_time, dos_date).
+
+    Blocks are numbered from 0; each is deflated by itself and they join into one stream. A column ``stored`` marks files that
+    are not worth deflating; extensions tell others. Without it no block is probed, as all blocks of a file
+    must agree.
+    """
+    stored = F.col("stored") if "stored" in blocks.columns else F.lit(False)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            methods, payloads, last = (batch.column(k).to_pylist() for k in ("method", "payload", "is_last"))
+            yield _replaced(batch, methods, [deflated_block(p, end) if m == 8 else p for m, p, end in zip(methods, payloads, last, strict=True)])
+
+    return _packed_rows(blocks, clean, name_encoding, F.col("block"), F.col("is_last"), stored).mapInArrow(run, PACKED)
+
+
+def deflated_block(body: bytes, last: bool) -> bytes:
+    """A part of a deflate stream that ends at a byte, or ends the stream."""
+    engine = zlib.compressobj(6, zlib.DEFLATED, -15)
+    return engine.compress(body) + engine.flush(zlib.Z_FINISH if last else zlib.Z_SYNC_FLUSH)
 
 
 def worthwhile(content: bytes) -> bool:
@@ -291,22 +463,28 @@ def worthwhile(content: bytes) -> bool:
     return len(engine.compress(head)) + len(engine.flush(zlib.Z_SYNC_FLUSH)) < WORTHWHILE * len(head)
 
 
-def write_archives(items: DataFrame, folder: str, password: str | None = None, overwrite: bool = False, clean: bool = True) -> None:
-    """Write one archive for each ``archive``; entries are compressed in parallel, then each archive is assembled in order by one task."""
-    packed = compress(items, clean).repartition("archive").sortWithinPartitions("archive", "entry_index")
-    sink = packed.write.format("zip").mode("overwrite" if overwrite else "append").option("path", folder)
+def _assembled(packed: DataFrame, folder: str, password: str | None, overwrite: bool) -> None:
+    ordered = packed.repartition("archive").sortWithinPartitions("archive", "entry_index", "block")
+    sink = ordered.write.format("zip").mode("overwrite" if overwrite else "append").option("path", folder)
     (sink.option("password", password) if password is not None else sink).save()
 
 
+def write_archives(items: DataFrame, folder: str, password: str | None = None, overwrite: bool = False, clean: bool = True, name_encoding: str = "utf8") -> None:
+    """Write one archive for each ``archive``; entries are compressed in parallel, then each archive is assembled in order by one task."""
+    _assembled(compress(items, clean, name_encoding), folder, password, overwrite)
+
+
+def write_blocks(blocks: DataFrame, folder: str, overwrite: bool = False, clean: bool = True, name_encoding: str = "utf8") -> None:
+    """Like :func:`write_archives` for files in blocks, so that no task holds a whole file; a missing block is an error."""
+    _assembled(compress_blocks(blocks, clean, name_encoding), folder, None, overwrite)
+
+
 def deflate_blocks(blocks: DataFrame) -> DataFrame:
     """(archive, entry_index, block, is_last, content) to deflated blocks that join into one stream by block number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for body, last in zip(batch.column(4).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                engine = zlib.compressobj(6, zlib.DEFLATED, -15)
-                out.append(engine.compress(body) + engine.flush(zlib.Z_FINISH if last else zlib.Z_SYNC_FLUSH))
+            out = [deflated_block(body, last) for body, last in zip(batch.column(4).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(out, pa.binary())], names=batch.schema.names)
 
     rows = blocks.select("archive", F.col("entry_index").cast("long").alias("entry_index"), F.col("block").cast("long").alias("block"), "is_last", F.col("content").cast("binary").alias("content"))

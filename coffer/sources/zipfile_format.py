@@ -174,9 +174,32 @@ def inflate_bounded(chunks: Iterator[bytes], method: int, declared: int) -> Iter
         raise ZipError("corrupt", "deflate stream ends early")
 
 
-def local_header(name: bytes, flags: int, method: int, time: int, date: int, crc: int, packed: int, full: int, extra: bytes = b"") -> bytes:
-    """A local header; sizes from 0xFFFFFF00 go to a 64-bit extra field."""
-    if max(packed, full) >= 0xFFFFFF00:
+_POLYNOMIAL = 0xEDB88320
+
+
+def _product(a: int, b: int) -> int:
+    """Product of two polynomials modulo that of the CRC; the highest bit is the constant term."""
+    out = 0
+    for shift in range(31, -1, -1):
+        if a >> shift & 1:
+            out ^= b
+        b = b >> 1 ^ (_POLYNOMIAL if b & 1 else 0)
+    return out
+
+
+def crc_of_both(first: int, second: int, size: int) -> int:
+    """CRC-32 of two joined pieces from theirs, the second of ``size`` bytes: the first times x**(8 * size), plus the second."""
+    power, square, left = 1 << 31, 1 << 30, 8 * size
+    while left:
+        if left & 1:
+            power = _product(power, square)
+        square, left = _product(square, square), left >> 1
+    return _product(first, power) ^ second
+
+
+def local_header(name: bytes, flags: int, method: int, time: int, date: int, crc: int, packed: int, full: int, extra: bytes = b"", wide: bool = False) -> bytes:
+    """A local header; sizes from 0xFFFFFF00, or all if ``wide``, go to a 64-bit extra field."""
+    if wide or max(packed, full) >= 0xFFFFFF00:
         extra = struct.pack("<HHQQ", 1, 16, full, packed) + extra
         packed = full = 0xFFFFFFFF
     return struct.pack("<IHHHHHIIIHH", LOCAL, 45 if full == 0xFFFFFFFF else 20, flags, method, time, date, crc, packed, full, len(name), len(extra)) + name + extra

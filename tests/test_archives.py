@@ -169,3 +169,69 @@ def test_stream_takes_each_archive_once(spark, tmp_path):
     for _ in range(2):
         intake.take_in(spark, str(inbox), str(tmp_path / "ck"), lambda df, _: seen.extend(df.collect()))
     assert sorted((os.path.basename(r.path), r.entries, r.error_code) for r in seen) == [("a.zip", 2, None), ("b.zip", None, "overlappingEntries")]
+
+
+def test_names_in_cp932(spark, tmp_path):
+    archives.register(spark)
+    rows = [("a.zip", 0, "データ/日本語.txt", b"1"), ("a.zip", 1, "plain.txt", b"2")]
+    archives.write_archives(items(spark, rows), str(tmp_path / "out"), name_encoding="cp932")
+    entries = spark.read.format("zip_entries").load(str(tmp_path / "out"))
+    got = listing.decoded_names(entries).orderBy("entry_index").collect()
+    assert [(bytes(r.raw_name), r.flags, r.name) for r in got] == [(n.encode("cp932"), 0, n) for _, _, n, _ in rows]
+    with pytest.raises(Exception, match="no CP932 form"):
+        archives.write_archives(items(spark, [("b.zip", 0, "😀.txt", b"1")]), str(tmp_path / "none"), name_encoding="cp932")
+    assert not (tmp_path / "none" / "b.zip").exists()
+    with pytest.raises(ValueError, match="latin"):
+        archives.compress(items(spark, rows), name_encoding="latin")
+
+
+def block_items(spark, rows):
+    df = spark.createDataFrame(rows, "archive string, entry_index int, block int, is_last boolean, name string, content binary")
+    return df.withColumn("dos_time", F.lit(0x6F3C)).withColumn("dos_date", F.lit(0x5B01))
+
+
+def test_blocks_become_entries(spark, tmp_path):
+    archives.register(spark)
+    parts = [b"abc" * 5000, b"", os.urandom(3000), b"abc" * 9]
+    rows = [("a.zip", 1, i, i == 3, "big.bin", p) for i, p in enumerate(parts)] + [("a.zip", 0, 0, True, "small.txt", b"s" * 99), ("a.zip", 3, 0, True, "d/", b"")]
+    rows += [("a.zip", 2, i, i == 1, "kept.JPG", p) for i, p in enumerate(parts[:2])]
+    archives.write_blocks(block_items(spark, rows), str(tmp_path / "out"))
+    with zipfile.ZipFile(tmp_path / "out" / "a.zip") as z:  # an independent reader
+        assert z.testzip() is None and z.namelist() == ["small.txt", "big.bin", "kept.JPG", "d/"]
+        assert z.read("big.bin") == b"".join(parts) and z.read("kept.JPG") == parts[0] and z.getinfo("kept.JPG").compress_type == 0
+    assert os.listdir(tmp_path / "out") == ["a.zip"]
+    for lost in (0, 1, 3):
+        with pytest.raises(Exception, match="lacks block"):
+            archives.write_blocks(block_items(spark, [r for i, r in enumerate(rows) if i != lost]), str(tmp_path / "none"))
+    assert os.listdir(tmp_path / "none") == []
+
+
+def test_crc_of_joined_pieces():
+    a, b = os.urandom(1000), os.urandom(777)
+    assert Z.crc_of_both(zlib.crc32(a), zlib.crc32(b), len(b)) == zlib.crc32(a + b)
+    assert Z.crc_of_both(0, zlib.crc32(b), len(b)) == zlib.crc32(b) and Z.crc_of_both(zlib.crc32(a), 0, 0) == zlib.crc32(a)
+
+
+def test_chunks_of_entries(spark, tmp_path):
+    archives.register(spark)
+    body = os.urandom(300) * 5000
+    rows = [("a.zip", 0, "big.txt", body), ("a.zip", 1, "empty", b""), ("a.zip", 2, "dir/", b""), ("a.zip", 3, "exact", b"x" * 2 * 65536)]
+    archives.write_archives(items(spark, rows), str(tmp_path / "out"))
+    (tmp_path / "out" / "lie.zip").write_bytes(zips.size_lie())
+    entries = spark.read.format("zip_entries").load(str(tmp_path / "out"))
+    got = archives.read_chunks(entries, chunk_bytes=65536).orderBy("path", "entry_index", "chunk_index").collect()
+    whole, lie = [r for r in got if r.path.endswith("a.zip")], [r for r in got if r.path.endswith("lie.zip")]
+    assert max(len(r.content) for r in whole) == 65536
+    for _, index, name, content in rows:
+        own = [r for r in whole if r.entry_index == index]
+        assert b"".join(bytes(r.content) for r in own) == content
+        assert [r.chunk_index for r in own] == list(range(len(own))) and [r.is_last for r in own] == [False] * (len(own) - 1) + [True] * bool(own) and name
+    assert (lie[-1].error_code, lie[-1].content, lie[-1].is_last) == ("sizeExceedsDeclared", None, True)
+    assert {r.error_code for r in archives.read_chunks(entries.where("path like '%lie%'").limit(0)).collect()} == set()
+
+
+def test_glob_opens_only_what_it_names(spark, tmp_path):
+    archives.register(spark)
+    (tmp_path / "bad.zip").write_bytes(b"not an archive")
+    (tmp_path / "good.zip").write_bytes(zips.archive([(b"a", b"1")]))
+    assert spark.read.format("zip_entries").option("pathGlobFilter", "g*.zip").load(str(tmp_path)).count() == 1

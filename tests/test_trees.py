@@ -125,3 +125,25 @@ def test_routing(spark):
     df = spark.createDataFrame([(1, "a.zip"), (1, "b.ZIP"), (2, "a.zip"), (2, "c.txt"), (3, "dir/report.pdf")], "request int, path string")
     assert {r.request: r.unpack for r in unpacking.wants_unpacking(df).collect()} == {1: True, 2: False, 3: False}
     assert {r.request: r.output for r in unpacking.default_output(df).collect()} == {1: "Archive.zip", 2: "Archive.zip", 3: "report.zip"}
+
+
+def test_blocks_and_chunks_through_a_tree(spark, tmp_path):
+    archives.register(spark)
+    root = tmp_path / "in"
+    (root / "a" / "b" / "c" / "d").mkdir(parents=True)
+    content = {"a/b/c/d/deep.txt": b"line of text\n" * 9000, "a/noise.bin": os.urandom(70000), "top.txt": b"x", "none": b""}
+    for name, body in content.items():
+        (root / name).write_bytes(body)
+    (tmp_path / "zips").mkdir()
+    found = trees.scan(spark, [str(root)], "x.zip")
+    assert {r.name for r in found.collect()} == {"in/", "in/a/", "in/a/b/", "in/a/b/c/", "in/a/b/c/d/"} | {f"in/{n}" for n in content}
+    archives.write_blocks(trees.pack_blocks(found, block_bytes=16384), str(tmp_path / "zips"))
+    with zipfile.ZipFile(tmp_path / "zips" / "x.zip") as z:
+        assert z.testzip() is None and {n: z.read(f"in/{n}") for n in content} == content
+        assert z.getinfo("in/a/noise.bin").compress_type == 0 and z.getinfo("in/a/b/c/d/deep.txt").compress_type == 8
+    entries = decoded(spark, tmp_path / "zips")
+    out = tmp_path / "out"
+    out.mkdir()
+    plan = unpacking.plan(entries, spark.createDataFrame([], "name string"), F.lit(1 << 40).cast("long"))
+    assert trees.extract(archives.read_chunks(entries, chunk_bytes=10000), plan, str(out)) == ["in"]
+    assert {n: (out / "in" / n).read_bytes() for n in content} == content
