@@ -28,15 +28,17 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from coffer.llm.common import _TABLE, columns_of, drop_table, fresh, gram_hash, in_slices, materialize, mix, prefix_hash, span_hash, spread_join, table
 
 #: Sketches of a text for copies that differ in more than a few places, and shingles in each.
 SKETCHES, SKETCH_SHINGLES = 12, 4
-#: Bins of the signature that estimates a similarity, the least estimate that is verified, and members compared in one task at most.
+#: Bins of the signature that estimates a similarity, the least estimate that is verified, and members compared exactly in one task at most.
 BINS, ESTIMATE, MEMBERS = 128, 0.65, 4096
+#: Rows of a group that are spanned in one task, about, and the rows of a larger group that all its tasks have in common.
+BLOCK, PIVOTS = 512, 16
 #: Shingles of the texts compared in one task at most.
 SHINGLES = 4_000_000
 
@@ -334,6 +336,22 @@ def _blocked(members: DataFrame, blocks: Column) -> DataFrame:
     return dealt.withColumn("o", F.explode(others)).select("*", "o.low", "o.high").drop("blocks", "own", "o")
 
 
+def _with_pivots(members: DataFrame, blocks: Column) -> DataFrame:
+    """``members`` in ``blocks`` tasks a group (low, high = low); the rows of the ``PIVOTS`` least hashes of a group are in all of its tasks."""
+    at = F.xxhash64("row", "kind")
+    own = F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int")
+    dealt = members.withColumn("blocks", blocks).withColumn("own", own).withColumn("at", at)
+    large = dealt.where("blocks > 1")
+    # the least of each block first, so that a large group is never sorted in one task
+    first = Window.partitionBy("kind", "print", "own").orderBy("at", "row")
+    then = Window.partitionBy("kind", "print").orderBy("at", "row")
+    few = large.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= PIVOTS)
+    few = few.withColumn("rank", F.row_number().over(then)).where(F.col("rank") <= PIVOTS)
+    shared = few.withColumn("low", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("low <> own")
+    both = dealt.withColumn("low", F.col("own")).select("row", "kind", "print", "low").unionByName(shared.select("row", "kind", "print", "low"))
+    return both.withColumn("high", F.col("low"))
+
+
 def _solved(dealt: DataFrame, solve: Callable[[pa.Table], list[tuple[int, int]]]) -> DataFrame:
     return dealt.repartition(*_KEYS).sortWithinPartitions(*_KEYS, "row").mapInArrow(_grouped(solve), "a long, b long").distinct()
 
@@ -348,10 +366,11 @@ def sketch_members(coded: DataFrame) -> DataFrame:
 def sketch_pairs(coded: DataFrame, members: DataFrame) -> DataFrame:
     """Candidate pairs (a, b) of rows: the spanning pairs of each group.
 
-    Groups of more than ``MEMBERS`` rows are dealt in blocks, every two of which
-    meet in one task.
+    Groups of more than ``BLOCK`` rows are dealt in blocks; ``PIVOTS`` rows of the
+    group are in each of its blocks and hold them together, so that the work is in
+    proportion to the rows. Pairs that this misses are met by ``unsettled_pairs``.
     """
-    dealt = _blocked(members, F.ceil(F.col("n") * 2 / MEMBERS).cast("int")).select("row", *_KEYS)
+    dealt = _with_pivots(members, F.ceil(F.col("n") / BLOCK).cast("int")).select("row", *_KEYS)
     return _solved(dealt.join(coded.select("row", "signature"), "row"), _spanning)
 
 
