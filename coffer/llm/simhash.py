@@ -380,7 +380,8 @@ def unsettled_pairs(single: DataFrame, rooted: DataFrame, members: DataFrame, li
     ``rooted`` is (row, fp, size, root) of the rows with words; ``linked`` has
     pairs (a, b) of close fingerprints. Rows meet in the groups of ``members``,
     and where their fingerprints are linked. Groups of one root are done;
-    in the others all pairs of two roots are compared by their shingle sets.
+    in the others all pairs of two roots are compared by their shingle sets, those
+    of the largest root with each of the others only.
     """
     ends = rooted.groupBy("fp").agg(F.min("root").alias("least"), F.max("root").alias("most"))
     a, b = (ends.select(F.col("fp").alias(k), F.col("least").alias(f"{k}_least"), F.col("most").alias(f"{k}_most")) for k in ("a", "b"))
@@ -388,9 +389,13 @@ def unsettled_pairs(single: DataFrame, rooted: DataFrame, members: DataFrame, li
     crossed = apart.select(F.lit(SKETCHES + 1).alias("kind"), F.xxhash64("a", "b").alias("print"), F.explode(F.array("a", "b")).alias("fp"))
     crossed = crossed.join(rooted, "fp").select("row", "kind", "print", "size", "root")
     met = members.select("row", "kind", "print").join(rooted.select("row", "size", "root"), "row").unionByName(crossed)
-    sizes = met.groupBy("kind", "print").agg(F.count("*").alias("n"), F.sum("size").alias("total"), F.min("root").alias("least"), F.max("root").alias("most"))
-    sizes = materialize(sizes.where("least < most").select("kind", "print", "n", "total"), "unsettled")
-    unsettled = materialize(spread_join(met, sizes, "kind", "print").select("row", "root", "kind", "print", "n", "total"), "unsettled-members")
+    # of each group its largest root, and the rows and shingles of that root and of the others
+    owned = met.groupBy("kind", "print", "root").agg(F.count("*").alias("n"), F.sum("size").alias("total"))
+    sizes = owned.groupBy("kind", "print").agg(
+        F.max(F.struct("n", "root", "total")).alias("most"), F.sum("n").alias("n"), F.sum("total").alias("total"), F.count("*").alias("roots")
+    )
+    sizes = sizes.where("roots > 1").select("kind", "print", F.col("most.root").alias("major"), F.col("most.n").alias("major_n"), F.col("most.total").alias("major_total"), "n", "total")
+    unsettled = materialize(spread_join(met, materialize(sizes, "unsettled"), "kind", "print").drop("size"), "unsettled-members")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = [shingle_set(t, width).tobytes() for t in batch.column(1).to_pylist()]
@@ -400,9 +405,27 @@ def unsettled_pairs(single: DataFrame, rooted: DataFrame, members: DataFrame, li
         return crossing_pairs(part["root"].to_numpy(), [np.frombuffer(x, np.uint64) for x in part["shingles"].to_pylist()], similarity)
 
     sets = materialize(single.join(unsettled.select("row").distinct(), "row", "left_semi").select("row", "text").mapInArrow(in_slices(run), "row long, shingles binary"), "shingles")
-    blocks = F.ceil(F.greatest(F.col("n") / MEMBERS, F.col("total") / SHINGLES) * 2).cast("int")
-    dealt = _blocked(unsettled, blocks).select("row", "root", *_KEYS)
-    return _solved(dealt.join(sets, "row"), solve)
+    return _solved(_crossing(unsettled).join(sets, "row"), solve)
+
+
+def _crossing(unsettled: DataFrame) -> DataFrame:
+    """``unsettled`` dealt so that every two rows of a group meet that have different roots.
+
+    Rows of a group's largest root are dealt in blocks that do not meet each
+    other; each block of the other rows meets all of those and all of its own kind.
+    """
+    n, total = F.col("n") - F.col("major_n"), F.col("total") - F.col("major_total")
+    blocks = F.ceil(F.greatest(n / MEMBERS, total / SHINGLES) * 2).cast("int")
+    parts = F.ceil(F.greatest(F.col("major_n") / BLOCK, F.col("major_total") * 4 / SHINGLES)).cast("int")
+    # up to two blocks go into one task, as in _blocked
+    sized = unsettled.withColumn("blocks", F.when(blocks > 2, blocks).otherwise(1)).withColumn("parts", F.greatest(parts, F.lit(1)))
+    columns, at = ["row", "root", *_KEYS], F.xxhash64("row")
+    minor, major = sized.where("root <> major"), sized.where("root = major")
+    inner = _blocked(minor.where("blocks > 1").drop("parts"), F.col("blocks"))
+    few = minor.withColumn("low", F.pmod(at, F.col("blocks")).cast("int")).withColumn("high", F.explode(F.sequence(F.lit(1), F.col("parts"))))
+    many = major.withColumn("high", F.pmod(at, F.col("parts")).cast("int") + 1).withColumn("low", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    outer = few.unionByName(many).withColumn("high", -F.col("high"))
+    return inner.select(*columns).unionByName(outer.select(*columns))
 
 
 def _classes(stored: DataFrame, row: str) -> tuple[DataFrame, DataFrame]:
