@@ -20,6 +20,7 @@ documents); other columns pass through.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +36,7 @@ _FILTER_BITS = 20
 
 
 def greedy_tiles(doc: np.ndarray, item: np.ndarray, least: int = MIN_TILE) -> list[tuple[int, int, int]]:
-    """Tiles (place in doc, place in item, words), longest first at each search length.
+    """Tiles (place in doc, place in item, words), longest first; of equal ones the first in the document, then in the item.
 
     ``doc`` and ``item`` are word hashes. No word of either lies in two tiles.
     """
@@ -69,15 +70,20 @@ def greedy_tiles(doc: np.ndarray, item: np.ndarray, least: int = MIN_TILE) -> li
                         n += 1
                     found[d, i] = n
                     reached[d - i] = d + n - size + 1
-        for (d, i), n in sorted(found.items(), key=lambda x: (-x[1], x[0])):
-            if free_doc[d : d + n].all() and free_item[i : i + n].all():
+        queue = [(-n, d, i) for (d, i), n in found.items()]
+        heapify(queue)
+        while queue:
+            n, d, i = heappop(queue)
+            n = -n
+            taken = np.flatnonzero(~(free_doc[d : d + n] & free_item[i : i + n]))
+            if not len(taken):
                 free_doc[d : d + n] = free_item[i : i + n] = False
                 tiles.append((d, i, n))
-        # matches cut short by an earlier mark are met again at the same length
-        if any(free_doc[d : d + n].any() for (d, _), n in found.items()) and found and len(open_windows(free_item, size)):
-            again = [1 for (d, i), n in found.items() for k in range(n - size + 1) if free_doc[d + k : d + k + size].all() and free_item[i + k : i + k + size].all()]
-            if again:
                 continue
+            # what earlier tiles left of the match waits for its turn among the shorter ones
+            for a, b in zip([0, *(taken + 1).tolist()], [*taken.tolist(), n], strict=True):
+                if b - a >= size:
+                    heappush(queue, (a - b, d + a, i + a))
         if size == least:
             return tiles
         size = max(least, size // 2)
