@@ -151,8 +151,12 @@ def test_near_copies_of_the_tables(spark):
     assert all(len(g) == 1 or set(g) <= blank or all(any(frozenset((d, e)) in joined for e in g if e != d) for d in g) for g in groups.values())
 
 
-def test_close_pairs_among_texts_of_one_template(spark):
+@pytest.mark.parametrize(("block", "pivots", "members"), [(512, 16, 4096), (24, 4, 80)])
+def test_close_pairs_among_texts_of_one_template(spark, monkeypatch, block, pivots, members):
     """All texts share 240 shingles and lie at 0.75 of each other, but for 60 pairs at 0.806."""
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    monkeypatch.setattr(simhash, "PIVOTS", pivots)
+    monkeypatch.setattr(simhash, "MEMBERS", members)
     rng = random.Random(5)
     common = [f"c{rng.random()}" for _ in range(244)]
     rows = []
@@ -167,6 +171,39 @@ def test_close_pairs_among_texts_of_one_template(spark):
     assert simhash.drop_near_copies(documents(spark, rows, extra=False)).count() == 600
 
 
+def test_rows_of_different_roots_meet(spark, monkeypatch):
+    """Of a large group every two rows with different roots meet in a task, and rows of the largest root are dealt in parts."""
+    monkeypatch.setattr(simhash, "BLOCK", 10)
+    monkeypatch.setattr(simhash, "MEMBERS", 8)
+    rng = random.Random(12)
+    groups = [[1] * 70 + [2] * 12 + list(range(10, 25)), [1] * 50 + [3], [5, 6], [7] * 3 + [8] * 30 + [9] * 30]
+    rows = []
+    for kind, roots in enumerate(groups):
+        major = max(set(roots), key=lambda r: (roots.count(r), r))
+        for root in roots:
+            rows.append((rng.randrange(1 << 40), root, kind, 77, major, roots.count(major), 100 * roots.count(major), len(roots), 100 * len(roots)))
+    table = spark.createDataFrame(rows, "row long, root long, kind int, print long, major long, major_n long, major_total long, n long, total long")
+    tasks = {}
+    for r in simhash._crossing(table).collect():
+        tasks.setdefault((r.kind, r.low, r.high), []).append(r)
+    met = {frozenset((a.row, b.row)) for task in tasks.values() for a in task for b in task}
+    assert all(frozenset((a[0], b[0])) in met for a in rows for b in rows if a[2] == b[2] and a[1] != b[1])
+    assert max(map(len, tasks.values())) < 40
+
+
+def test_pivots_hold_blocks_together(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "PIVOTS", 3)
+    rows = [(i, 0, 7, 100) for i in range(100)] + [(i, 1, 8, 20) for i in range(20)]
+    members = spark.createDataFrame(rows, "row long, kind int, print long, n long")
+    tasks = {}
+    for r in simhash._with_pivots(members, simhash.F.ceil(simhash.F.col("n") / 25).cast("int")).collect():
+        assert r.low == r.high
+        tasks.setdefault((r.kind, r.low), []).append(r.row)
+    assert sorted(tasks.pop((1, 0))) == list(range(20))
+    assert len(tasks) == 4 and len(set.intersection(*map(set, tasks.values()))) == 3
+    assert sum(map(len, tasks.values())) == 100 + 3 * 3 and set().union(*tasks.values()) == set(range(100))
+
+
 def test_texts_without_words_are_one_group(spark):
     rows = [(1, None), (2, " "), (3, " \n"), (4, "\t"), (5, "one word"), (6, " ")]
     assert sorted(simhash.drop_near_copies(documents(spark, rows)).select("doc_id").toPandas()["doc_id"]) in ([i, 5] if i < 5 else [5, i] for i in (1, 2, 3, 4, 6))
@@ -228,8 +265,8 @@ def test_longest_previous_factors(text):
 
 
 def brute_tiles(a, b, least):
-    """Greedy tiling by longest match first, from the definition."""
-    used_a, used_b, total = set(), set(), 0
+    """Greedy tiling by longest match first, from the definition: (place in a, place in b, length)."""
+    used_a, used_b, tiles = set(), set(), []
     while True:
         best = 0
         for i in range(len(a)):
@@ -240,8 +277,8 @@ def brute_tiles(a, b, least):
                 if k > best:
                     best, where = k, (i, j)
         if best < least:
-            return total
-        total += best
+            return tiles
+        tiles.append((*where, best))
         used_a |= set(range(where[0], where[0] + best))
         used_b |= set(range(where[1], where[1] + best))
 
@@ -256,7 +293,35 @@ def test_greedy_tiles_do_not_overlap_and_are_maximal(a, b):
     assert all(a[d : d + n] == b[i : i + n] and n >= 3 for d, i, n in tiles)
     free_a = [x if not any(d <= i < d + n for d, _, n in tiles) else -1 for i, x in enumerate(a)]
     free_b = [x if not any(j <= i < j + n for _, j, n in tiles) else -2 for i, x in enumerate(b)]
-    assert brute_tiles(free_a, free_b, 3) == 0
+    assert brute_tiles(free_a, free_b, 3) == []
+    assert tiles == brute_tiles(a, b, 3)
+
+
+def test_coverage_against_brute_force(spark):
+    """The whole query over texts of few words, where items, their pieces and chance matches overlap."""
+    rng = random.Random(11)
+    some = [prose(rng, 1) for _ in range(7)]
+    items = [" ".join(rng.choice(some) for _ in range(rng.randint(4, 26))) for _ in range(7)]
+    rows = odd_rows()[:12] + [(103, None), (104, "")]
+    for i in range(60):
+        piece = rng.choice(items).split()
+        a = rng.randrange(len(piece))
+        mixed = piece[a:] + [rng.choice(some) for _ in range(rng.randint(0, 8))] + piece[: a + rng.randint(0, 3)]
+        rows.append((200 + i, rng.choice([" ", ", ", " - "]).join(w.upper() if i % 3 else w for w in mixed)))
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+
+    def words(text):
+        return re.findall(r"[0-9a-z]+", (text or "").lower())
+
+    wanted = []
+    for doc, text in rows:
+        for item, other in enumerate(items):
+            tiles = brute_tiles(words(text), words(other), 5)
+            covered, of = sum(n for *_, n in tiles), len(words(other))
+            if tiles and covered >= 0.6 * of:
+                wanted.append((doc, item, len(tiles), covered, of, covered / of))
+    got = decontaminate.contaminated(documents(spark, rows), bench)
+    assert Counter(map(tuple, got.collect())) == Counter(wanted) and len(wanted) > 30
 
 
 def test_leaks_are_found_and_clean_documents_stay(spark):
