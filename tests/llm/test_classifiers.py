@@ -1,4 +1,5 @@
 import random
+import re
 import zlib
 
 import numpy as np
@@ -73,6 +74,68 @@ def test_votes_are_exact(spark):
         assert abs(g - (w * labels[near]).sum() / w.sum()) < 1e-4
 
 
+def written(spark, folder, rows, labels):
+    docs, table = frames(spark, rows, labels)
+    docs.write.parquet(f"{folder}/documents.parquet")
+    table.write.parquet(f"{folder}/labels.parquet")
+    return spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+
+
+def test_quality_query_against_brute_force(spark, tmp_path):
+    """Every row of the query: one text at a time, all cosines sorted, all that tie with the last neighbour voting."""
+    rows, labels = labelled(spark)
+    rows += [(1000 + i, t) for i, t in odd_rows() if i is not None]
+    docs, table = written(spark, tmp_path, rows, labels)
+    space = quality.train(docs, table)
+
+    def brute(text):
+        counts = quality.term_counts([text or ""])
+        if not counts.any():
+            return space.blank
+        v = (quality._weighted(counts, quality.shape_terms([text]), space.idf) @ space.axes)[0].astype(float)
+        cosines = sorted(((float(v @ u) / max(np.linalg.norm(v), 1e-9), y) for u, y in zip(space.vectors.astype(float), space.labels, strict=True)), reverse=True)
+        last = cosines[min(quality.NEIGHBOURS, len(cosines)) - 1][0]
+        near = [(max(c, 1e-6) ** 4, y) for c, y in cosines if c >= last - quality.TIE]
+        return sum(w * y for w, y in near) / sum(w for w, _ in near)
+
+    got = sorted(map(tuple, quality.op4(spark, str(tmp_path)).collect()))
+    assert [r[0] for r in got] == sorted(i for i, _ in rows)
+    scores = {}
+    for i, t in rows:
+        scores.setdefault(i, brute(t))
+    for doc, held_out, score, predicted in got:
+        assert held_out == (zlib.crc32(str(doc).encode()) % 5 == 0) and predicted == int(score >= 0.3)
+        assert abs(score - scores[doc]) < 1e-4
+
+
+def test_toxic_query_against_brute_force(spark, tmp_path):
+    """Every row of the query: tokens looked up one by one, segments by their recursive definition."""
+    rows, labels = labelled(spark)
+    rows += [(1000 + i, t) for i, t in odd_rows() if i is not None and len(t or "") < 1500] + [(2000, "word vilebrute vilebrute nastyfool, Nastyfools!"), (2001, "vilebrute " * 30)]
+    docs, table = written(spark, tmp_path, rows, labels)
+    model = toxicity.train(docs, table)
+    worth = dict(zip(model.words.tolist(), model.scores.tolist(), strict=True))
+    assert worth
+
+    def brute(text):
+        words = re.findall(rb"[0-9a-zA-Z\x80-\xff]+", common.lowered(text or "").encode())
+        scores = []
+        for before, word in zip([None, *words], words):
+            found = max(worth.get(int(h), 0) for _, hashes in toxicity.tokens([word.decode()])[4] for h in hashes)
+            scores.append(found if found and word != before else -model.drift)
+        segments = brute_segments(scores)
+        statistic = toxicity.text_statistic(np.array([s for *_, s in segments]), len(words), model.lam, model.k)
+        return 1 / (1 + np.exp(-(model.slope * np.log1p(statistic) + model.intercept))) if statistic > 0 else model.none
+
+    got = toxicity.op10(spark, str(tmp_path)).select("doc_id", "held_out", "score", "predicted").collect()
+    assert sorted(r.doc_id for r in got) == sorted(i for i, _ in rows)
+    scores = {i: brute(t) for i, t in rows}
+    for r in got:
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) and r.predicted == int(r.score >= 0.7)
+        assert abs(r.score - scores[r.doc_id]) < 1e-6
+    assert 20 < sum(r.predicted for r in got) < 60
+
+
 def brute_segments(scores):
     """All maximal scoring segments by the recursive definition."""
 
