@@ -310,9 +310,10 @@ def _roundtrip(spark: SparkSession, sf_dir: str, password: str | None) -> DataFr
     archives.write_archives(items, folder, password)
     entries = spark.read.format("zip_entries").load(folder)
     names = L.decoded_names(entries).select("path", "entry_index", "name")
-    got = archives.read_contents(entries, password).join(names, ["path", "entry_index"])
+    # told of each content before the join, which then moves no content
     text = F.col("content").cast("string")
-    return got.select("name", F.col("actual_size").alias("size"), F.md5("content").alias("content_md5"), F.length(text).cast("long").alias("chars"), "status")
+    got = archives.read_contents(entries, password).select("path", "entry_index", F.col("actual_size").alias("size"), F.md5("content").alias("content_md5"), F.length(text).cast("long").alias("chars"), "status")
+    return got.join(names, ["path", "entry_index"]).select("name", "size", "content_md5", "chars", "status")
 
 
 _ROUNDTRIP_SQL = f"WITH {V.DOCUMENTS_SQL} SELECT name, uncompressed_size AS size, md5(text) AS content_md5, CAST(length(text) AS BIGINT) AS chars, 'ok' AS status FROM E_docs"

@@ -7,9 +7,14 @@ store that pyarrow knows, and only the bytes asked for are read.
 from __future__ import annotations
 
 import os
+import pickle
+import shutil
+import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import islice
+from types import SimpleNamespace
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -53,8 +58,8 @@ class _Archive(InputPartition):
     path: str
 
 
-#: Directory records in one Arrow batch.
-BATCH = 8192
+#: Directory records in one Arrow batch, and payload bytes after which a batch of contents is handed on.
+BATCH, HELD = 8192, 4 << 20
 
 
 def _entry_batch(path: str, found: list[dict], error_code: str | None = None) -> pa.RecordBatch:
@@ -84,14 +89,15 @@ class _EntriesReader(DataSourceReader):
         try:
             file, length = _open(part.path)
             with file:
-                found = Z.read_directory(file, length)
+                place = Z.checked_directory(file, length)
         except Z.ZipError as e:
             if not self.permissive:
                 raise
             yield _entry_batch(part.path, [_REFUSED], e.code)
             return
-        for at in range(0, len(found), BATCH):
-            yield _entry_batch(part.path, found[at : at + BATCH])
+        records = Z.records(*place)
+        while found := list(islice(records, BATCH)):
+            yield _entry_batch(part.path, found)
 
 
 class ZipEntries(DataSource):
@@ -113,6 +119,24 @@ class ZipEntries(DataSource):
         return _EntriesReader(self.options)
 
 
+#: Neighbouring entries of an archive that go to a task together, to be written or read in order.
+RUN = 1024
+
+
+def _dealt(rows: DataFrame, archive: str, *order: str) -> DataFrame:
+    """Rows spread over ``spark.sql.shuffle.partitions`` tasks by runs of entries, so that no archive is left to one task."""
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(tasks, archive, F.floor(F.col("entry_index") / RUN)).sortWithinPartitions(archive, "entry_index", *order)
+
+
+#: Columns of the entries that reading takes.
+_TO_READ = ["path", "entry_index", "raw_name", "flags", "method_raw", "dos_time", "crc32", "compressed_size", "uncompressed_size", "local_header_offset", "encryption", "error_code"]
+
+
+def _to_read(entries: DataFrame) -> DataFrame:
+    return _dealt(entries.select(*[c for c in _TO_READ if c in entries.columns]), "path")
+
+
 def entry_pieces(file, e: dict, password: str | None) -> Iterator[bytes]:
     """The content of one entry in bounded pieces; a ZipError as soon as it shows, size and CRC after the last piece."""
     kind, method = e["encryption"]["kind"], e["method_raw"]
@@ -163,7 +187,11 @@ def read_contents(entries: DataFrame, password: str | None = None, max_bytes: in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("path", pa.string()), ("entry_index", pa.int32()), ("content", pa.binary()), ("status", pa.string()), ("error_code", pa.string()), ("actual_size", pa.int64()), ("actual_crc", pa.int64())])
-        opened = None, None
+
+        def rows_batch(rows: list[list]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
+
+        opened, made, held = (None, None), [], 0
         for batch in batches:
             for e in batch.to_pylist():
                 row = [e["path"], e["entry_index"], None, "error", None, None, None]
@@ -175,15 +203,23 @@ def read_contents(entries: DataFrame, password: str | None = None, max_bytes: in
                 else:
                     try:
                         if opened[0] != e["path"]:
+                            if opened[1] is not None:
+                                opened[1].close()
                             opened = e["path"], _open(e["path"])[0]
                         content, crc = entry_content(opened[1], e, password)
                         row[2:] = content, "ok", None, len(content), crc
                     except Z.ZipError as error:
                         row[4] = error.code
-                # a row at a time: payloads can be large
-                yield pa.RecordBatch.from_pylist([dict(zip(schema.names, row, strict=True))], schema)
+                made.append(row)
+                held += row[5] or 0
+                # payloads can be large, rows are many
+                if held >= HELD or len(made) == RUN:
+                    yield rows_batch(made)
+                    made, held = [], 0
+        if made:
+            yield rows_batch(made)
 
-    return entries.mapInArrow(run, CONTENTS)
+    return _to_read(entries).mapInArrow(run, CONTENTS)
 
 
 CHUNKS = "path string, entry_index int, chunk_index long, content binary, is_last boolean, error_code string"
@@ -237,7 +273,7 @@ def read_chunks(entries: DataFrame, password: str | None = None, chunk_bytes: in
                     for row in rows(e, opened):
                         yield pa.RecordBatch.from_pylist([dict(zip(schema.names, (e["path"], e["entry_index"], *row), strict=True))], schema)
 
-    return entries.mapInArrow(run, CHUNKS)
+    return _to_read(entries).mapInArrow(run, CHUNKS)
 
 
 @dataclass
@@ -265,6 +301,9 @@ class _Assembly:
         self.names.add(raw)
         return raw
 
+    def _list(self, *values) -> None:
+        self.central.append(Z.central_record(*values))
+
     def _whole(self, r: Row) -> None:
         raw, payload, method, flags, extra, crc = self._name(r), bytes(r.payload), r.method, r.flags, b"", r.crc32
         if self.password is not None and not raw.endswith(b"/"):
@@ -273,7 +312,7 @@ class _Assembly:
         header = Z.local_header(raw, flags, method, r.dos_time, r.dos_date, crc, len(payload), r.size, extra)
         self.file.write(header)
         self.file.write(payload)
-        self.central.append(Z.central_record(raw, flags, method, r.dos_time, r.dos_date, crc, len(payload), r.size, self.offset, raw.endswith(b"/"), extra))
+        self._list(raw, flags, method, r.dos_time, r.dos_date, crc, len(payload), r.size, self.offset, raw.endswith(b"/"), extra)
         self.offset += len(header) + len(payload)
 
     def _block(self, r: Row) -> None:
@@ -295,28 +334,45 @@ class _Assembly:
             self.file.seek(self.offset)
             self.file.write(Z.local_header(*values, wide=True))
             self.file.seek(0, os.SEEK_END)
-            self.central.append(Z.central_record(*values, self.offset, False))
+            self._list(*values, self.offset, False)
             self.offset, self.started = self.offset + on["header"] + on["packed"], None
 
-    def close(self) -> None:
+    def _whole_so_far(self) -> None:
         if self.started is not None:
             raise ValueError(f"entry {self.started['entry']} lacks block {self.started['next']}")
+
+    def close(self) -> None:
+        self._whole_so_far()
         directory = b"".join(self.central)
         self.file.write(directory + Z.end_records(len(self.central), len(directory), self.offset))
         self.file.close()
 
 
+class _Segment(_Assembly):
+    """A run of an archive's entries; what its directory needs to know goes to a file beside, with offsets from the segment's start."""
+
+    def __init__(self, archive: str, run: int, place: str, password: str | None):
+        super().__init__(place, password)
+        self.archive, self.run, self.place = archive, run, place
+
+    def _list(self, *values) -> None:
+        self.central.append(values)
+
+    def close(self) -> tuple:
+        self._whole_so_far()
+        self.file.close()
+        with open(f"{self.place}.dir", "xb") as f:
+            pickle.dump(self.central, f)
+        return self.archive, self.run, self.place
+
+
 class _ZipWriter(DataSourceWriter):
     def __init__(self, options: dict, overwrite: bool):
-        import uuid
-
         self.folder, self.overwrite = options["path"], overwrite
         self.password, self.job = options.get("password"), uuid.uuid4().hex
 
     def write(self, rows: Iterator[Row]) -> _Written:
         """Archives of this partition, each to a name of its own attempt; rows come sorted by archive, entry and block."""
-        import uuid
-
         os.makedirs(self.folder, exist_ok=True)
         parts, current, made = [], None, None
         try:
@@ -408,6 +464,35 @@ def _replaced(batch: pa.RecordBatch, methods: list[int], payloads: list[bytes])
     return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
 
+def _each_batch(rows: DataFrame, change: Callable[[pa.RecordBatch], pa.RecordBatch]) -> DataFrame:
+    return rows.mapInArrow(lambda batches: map(change, batches), PACKED)
+
+
+def _whole_rows(items: DataFrame, clean: bool, name_encoding: str) -> DataFrame:
+    return _packed_rows(items, clean, name_encoding, F.lit(0), F.lit(True), F.lit(False))
+
+
+def _block_rows(blocks: DataFrame, clean: bool, name_encoding: str) -> DataFrame:
+    stored = F.col("stored") if "stored" in blocks.columns else F.lit(False)
+    return _packed_rows(blocks, clean, name_encoding, F.col("block"), F.col("is_last"), stored)
+
+
+def _deflated(batch: pa.RecordBatch) -> pa.RecordBatch:
+    methods, payloads = batch.column("method").to_pylist(), batch.column("payload").to_pylist()
+    for i, (method, body) in enumerate(zip(methods, payloads, strict=True)):
+        if method == 8 and not worthwhile(body):
+            methods[i] = 0
+        elif method == 8:
+            engine = zlib.compressobj(6, zlib.DEFLATED, -15)
+            payloads[i] = engine.compress(body) + engine.flush()
+    return _replaced(batch, methods, payloads)
+
+
+def _deflated_blocks(batch: pa.RecordBatch) -> pa.RecordBatch:
+    methods, payloads, last = (batch.column(k).to_pylist() for k in ("method", "payload", "is_last"))
+    return _replaced(batch, methods, [deflated_block(p, end) if m == 8 else p for m, p, end in zip(methods, payloads, last, strict=True)])
+
+
 def compress(items: DataFrame, clean: bool = True, name_encoding: str = "utf8") -> DataFrame:
     """Packed rows of (archive, entry_index, name, content, dos_time, dos_date): method by extension and probe, raw deflate, CRC.
 
@@ -417,18 +502,7 @@ def compress(items: DataFrame, clean: bool = True, name_encoding: str = "utf8")
     where a name that CP932 cannot express is an error.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            methods, payloads = batch.column("method").to_pylist(), batch.column("payload").to_pylist()
-            for i, (method, body) in enumerate(zip(methods, payloads, strict=True)):
-                if method == 8 and not worthwhile(body):
-                    methods[i] = 0
-                elif method == 8:
-                    engine = zlib.compressobj(6, zlib.DEFLATED, -15)
-                    payloads[i] = engine.compress(body) + engine.flush()
-            yield _replaced(batch, methods, payloads)
-
-    return _packed_rows(items, clean, name_encoding, F.lit(0), F.lit(True), F.lit(False)).mapInArrow(run, PACKED)
+    return _each_batch(_whole_rows(items, clean, name_encoding), _deflated)
 
 
 def compress_blocks(blocks: DataFrame, clean: bool = True, name_encoding: str = "utf8") -> DataFrame:
@@ -438,14 +512,7 @@ def compress_blocks(blocks: DataFrame, clean: bool = True, name_encoding: str =
     are not worth deflating; extensions tell others. Without it no block is probed, as all blocks of a file
     must agree.
     """
-    stored = F.col("stored") if "stored" in blocks.columns else F.lit(False)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            methods, payloads, last = (batch.column(k).to_pylist() for k in ("method", "payload", "is_last"))
-            yield _replaced(batch, methods, [deflated_block(p, end) if m == 8 else p for m, p, end in zip(methods, payloads, last, strict=True)])
-
-    return _packed_rows(blocks, clean, name_encoding, F.col("block"), F.col("is_last"), stored).mapInArrow(run, PACKED)
+    return _each_batch(_block_rows(blocks, clean, name_encoding), _deflated_blocks)
 
 
 def deflated_block(body: bytes, last: bool) -> bytes:
@@ -463,20 +530,108 @@ def worthwhile(content: bytes) -> bool:
     return len(engine.compress(head)) + len(engine.flush(zlib.Z_SYNC_FLUSH)) < WORTHWHILE * len(head)
 
 
-def _assembled(packed: DataFrame, folder: str, password: str | None, overwrite: bool) -> None:
-    ordered = packed.repartition("archive").sortWithinPartitions("archive", "entry_index", "block")
-    sink = ordered.write.format("zip").mode("overwrite" if overwrite else "append").option("path", folder)
-    (sink.option("password", password) if password is not None else sink).save()
+SEGMENTS = "archive string, run long, place string"
+#: Rows that are deflated and sealed at a time.
+ROWS = 128
+
+
+def _segments(packed: DataFrame, deflate: Callable[[pa.RecordBatch], pa.RecordBatch], stem: str, password: str | None) -> DataFrame:
+    """Deflate, seal and write all rows, each run of an archive's entries to a file of its own attempt; one row for each file."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("archive", pa.string()), ("run", pa.int64()), ("place", pa.string())])
+        made = None
+
+        def closed() -> pa.RecordBatch:
+            return pa.RecordBatch.from_pylist([dict(zip(schema.names, made.close(), strict=True))], schema)
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                for values in deflate(batch.slice(at, ROWS)).to_pylist():
+                    r = SimpleNamespace(**values)
+                    if made is None or (made.archive, made.run) != (r.archive, r.entry_index // RUN):
+                        if made is not None:
+                            yield closed()
+                        made = _Segment(r.archive, r.entry_index // RUN, f"{stem}.{uuid.uuid4().hex}.segment", password)
+                    made.take(r)
+        if made is not None:
+            yield closed()
+
+    return _dealt(packed, "archive", "block").mapInArrow(run, SEGMENTS)
+
+
+def _names_differ(spark: SparkSession, found: list[Row]) -> None:
+    """Refuse names that stand twice in an archive."""
+
+    def names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for archive, place in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                with open(f"{place}.dir", "rb") as f:
+                    listed = [values[0] for values in pickle.load(f)]
+                yield pa.RecordBatch.from_arrays([pa.array([archive] * len(listed), pa.string()), pa.array(listed, pa.binary())], names=["archive", "raw_name"])
+
+    places = spark.createDataFrame([(r.archive, r.place) for r in found], "archive string, place string")
+    twice = places.mapInArrow(names, "archive string, raw_name binary").groupBy("archive", "raw_name").count().where("count > 1").limit(1).collect()
+    if twice:
+        raise ValueError(f"name twice in {twice[0].archive}: {bytes(twice[0].raw_name)[:80]!r}")
+
+
+def _join_segments(spark: SparkSession, found: list[Row], stem: str) -> list[tuple[str, str]]:
+    """Join the segments of each archive, in order, and add its directory; (archive, part file)."""
+
+    def joined(places: list[str]) -> str:
+        part, starts, count, size = f"{stem}.{uuid.uuid4().hex}.part", [], 0, 0
+        with open(part, "xb") as out:
+            for place in places:
+                starts.append(out.tell())
+                with open(place, "rb") as f:
+                    shutil.copyfileobj(f, out, 8 << 20)
+            end = out.tell()
+            for place, start in zip(places, starts, strict=True):
+                with open(f"{place}.dir", "rb") as f:
+                    for values in pickle.load(f):
+                        record = Z.central_record(*values[:8], start + values[8], *values[9:])
+                        out.write(record)
+                        count, size = count + 1, size + len(record)
+            out.write(Z.end_records(count, size, end))
+        return part
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for archive, places in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array([archive], pa.string()), pa.array([joined(places)], pa.string())], names=["archive", "part"])
+
+    by: dict[str, list[str]] = {}
+    for r in sorted(found, key=lambda r: (r.archive, r.run)):
+        by.setdefault(r.archive, []).append(r.place)
+    rows = spark.createDataFrame(list(by.items()), "archive string, places array<string>").repartition(len(by), "archive")
+    return [(r.archive, r.part) for r in rows.mapInArrow(run, "archive string, part string").collect()]
+
+
+def _assembled(packed: DataFrame, deflate: Callable[[pa.RecordBatch], pa.RecordBatch], folder: str, password: str | None, overwrite: bool) -> None:
+    spark, writer = packed.sparkSession, _ZipWriter({"path": folder}, overwrite)
+    os.makedirs(folder, exist_ok=True)
+    stem = f"{folder}/.{writer.job}"
+    try:
+        found = _segments(packed, deflate, stem, password).collect()
+        parts = []
+        if found:
+            _names_differ(spark, found)
+            parts = [(part, f"{folder}/{archive}") for archive, part in _join_segments(spark, found, stem)]
+        writer.commit([_Written(parts)])
+    except BaseException:
+        writer.abort([])
+        raise
 
 
 def write_archives(items: DataFrame, folder: str, password: str | None = None, overwrite: bool = False, clean: bool = True, name_encoding: str = "utf8") -> None:
-    """Write one archive for each ``archive``; entries are compressed in parallel, then each archive is assembled in order by one task."""
-    _assembled(compress(items, clean, name_encoding), folder, password, overwrite)
+    """Write one archive for each ``archive``; runs of entries are compressed, sealed and written by all tasks, then joined in order."""
+    _assembled(_whole_rows(items, clean, name_encoding), _deflated, folder, password, overwrite)
 
 
 def write_blocks(blocks: DataFrame, folder: str, overwrite: bool = False, clean: bool = True, name_encoding: str = "utf8") -> None:
     """Like :func:`write_archives` for files in blocks, so that no task holds a whole file; a missing block is an error."""
-    _assembled(compress_blocks(blocks, clean, name_encoding), folder, None, overwrite)
+    _assembled(_block_rows(blocks, clean, name_encoding), _deflated_blocks, folder, None, overwrite)
 
 
 def deflate_blocks(blocks: DataFrame) -> DataFrame:

@@ -235,3 +235,20 @@ def test_glob_opens_only_what_it_names(spark, tmp_path):
     (tmp_path / "bad.zip").write_bytes(b"not an archive")
     (tmp_path / "good.zip").write_bytes(zips.archive([(b"a", b"1")]))
     assert spark.read.format("zip_entries").option("pathGlobFilter", "g*.zip").load(str(tmp_path)).count() == 1
+
+
+def test_one_archive_keeps_many_tasks_busy(spark, tmp_path):
+    archives.register(spark)
+    n = 3 * archives.RUN + 5
+    rows = [("a.zip", i, f"{n - i}.txt", b"%d " % i * 9) for i in range(n)]
+    archives.write_archives(items(spark, rows).repartition(3), str(tmp_path / "out"))
+    assert os.listdir(tmp_path / "out") == ["a.zip"]
+    with zipfile.ZipFile(tmp_path / "out" / "a.zip") as z:  # an independent reader
+        assert z.testzip() is None and z.namelist() == [r[2] for r in rows] and z.read("1.txt") == rows[-1][3]
+    entries = spark.read.format("zip_entries").load(str(tmp_path / "out"))
+    got = archives.read_contents(entries).select("entry_index", "content", F.spark_partition_id().alias("task")).collect()
+    assert {r.entry_index: bytes(r.content) for r in got} == {r[1]: r[3] for r in rows} and len(got) == n
+    assert len({r.task for r in got}) > 1
+    with pytest.raises(Exception, match="twice"):  # in runs apart
+        archives.write_archives(items(spark, [*rows, ("a.zip", n, "2.txt", b"")]), str(tmp_path / "none"))
+    assert os.listdir(tmp_path / "none") == []
