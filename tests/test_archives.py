@@ -3,6 +3,7 @@
 import io
 import os
 import struct
+import tracemalloc
 import zipfile
 import zlib
 
@@ -252,3 +253,21 @@ def test_one_archive_keeps_many_tasks_busy(spark, tmp_path):
     with pytest.raises(Exception, match="twice"):  # in runs apart
         archives.write_archives(items(spark, [*rows, ("a.zip", n, "2.txt", b"")]), str(tmp_path / "none"))
     assert os.listdir(tmp_path / "none") == []
+
+
+def test_a_long_directory_is_not_held_as_rows(tmp_path):
+    n = 40_000
+    data, listed = io.BytesIO(), []
+    for i in range(n):
+        listed.append(zips.central(b"%06d.txt" % i, 0, 0, 0, data.tell()))
+        data.write(zips.local(b"%06d.txt" % i, b""))
+    directory_bytes = b"".join(listed)
+    data.write(directory_bytes + zips.end(n, len(directory_bytes), data.tell()))
+    (tmp_path / "a.zip").write_bytes(data.getvalue())
+    reader = archives._EntriesReader({"path": str(tmp_path / "a.zip")})
+    (part,) = reader.partitions()
+    tracemalloc.start()
+    rows = sum(b.num_rows for b in reader.read(part))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == n and peak < 25_000_000  # 40,000 records as dictionaries take more than 40 MB
