@@ -10,6 +10,7 @@ and bounded.
 from __future__ import annotations
 
 import re
+import struct
 
 import numpy as np
 import pyarrow as pa
@@ -51,24 +52,32 @@ class _Cache:
 class WordIds:
     """Ids of texts under a word-level byte BPE of the tokenizers library."""
 
-    def __init__(self, path: str, limit: int = 60_000):
+    def __init__(self, path: str, words: int = 120_000, chunks: int = 30_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.alphabet = _byte_alphabet()
-        self.words, self.chunks = _Cache(limit), _Cache(limit)
+        self.words, self.chunks = _Cache(words), _Cache(chunks)
 
     def _word(self, word: str) -> bytes:
         found = self.words.get(word)
         if found is None:
-            spelt = word.encode().decode("latin-1").translate(self.alphabet)
-            found = np.array([t.id for t in self.model.tokenize(spelt)], "<u4").tobytes()
+            # printable ASCII stands for itself
+            spelt = word if word.isascii() else word.encode().decode("latin-1").translate(self.alphabet)
+            ids = [t.id for t in self.model.tokenize(spelt)]
+            found = struct.pack(f"<{len(ids)}I", *ids)
             if len(word) <= 40:
                 self.words.put(word, found)
         return found
 
     def _chunk(self, chunk: str) -> bytes:
+        if chunk.isascii():
+            # what the split leaves whole, and that with a mark at its end, needs no place in the cache of chunks
+            if chunk.isalpha():
+                return self._word(chunk.lower())
+            if chunk[-1:] in ".,;:!?" and chunk[:-1].isalpha():
+                return self._word(chunk[:-1].lower()) + self._word(chunk[-1])
         found = self.chunks.get(chunk)
         if found is None:
             if _PLAIN.fullmatch(chunk) and "<|" not in chunk:

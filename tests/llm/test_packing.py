@@ -30,6 +30,18 @@ def test_ids_are_the_tokenizers(texts):
         assert ids[offsets[i] : offsets[i + 1]].tolist() == plain_ids(t, 2)
 
 
+def test_words_with_and_without_marks_share_one_cached_word():
+    import pyarrow as pa
+
+    texts = ["Stone stone, STONE. stone! stone; stone's st0ne <|stone stone<| ,, .", "stone?stone éstone, stone,, 'stone'"]
+    coder = tokens.WordIds(PATH)
+    ids, offsets = coder.encode(pa.array(texts), 2)
+    for i, t in enumerate(texts):
+        assert ids[offsets[i] : offsets[i + 1]].tolist() == plain_ids(t, 2)
+    assert {"stone", ",", "."} <= set(coder.words.new)
+    assert not {"Stone", "stone,", "STONE.", "stone!", "stone;"} & set(coder.chunks.new)
+
+
 def check_cover(rows, wanted):
     """Each id of each document lies in exactly one piece."""
     pieces = defaultdict(list)
