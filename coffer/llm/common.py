@@ -117,6 +117,30 @@ def spread_join(rows: DataFrame, keyed: DataFrame, *on: str) -> DataFrame:
     return dealt.join(copies, [*on, "piece"]).drop("piece")
 
 
+#: Bitmaps that are broadcast at most, of 4 KiB and 32,768 successive numbers each.
+BITMAPS = 16_384
+
+
+def standing(rows: DataFrame, key: str, numbers: DataFrame, keep: bool = True) -> DataFrame:
+    """The ``rows`` whose long ``key`` is among the ``numbers`` (one column), or without ``keep`` the others; rows stay where they are.
+
+    A bit for each number is broadcast, so that no text goes through a shuffle
+    to be left out after it. Beyond :data:`BITMAPS`, some 500 million row
+    numbers, rows and numbers are joined as Spark plans it.
+    """
+    number = numbers.columns[0]
+    placed = numbers.select(F.bitmap_bucket_number(number).alias("bucket"), F.bitmap_bit_position(number).alias("place"))
+    # by bucket first: partial bitmaps of every task would be far larger than their numbers
+    bits = materialize(placed.repartition("bucket").groupBy("bucket").agg(F.bitmap_construct_agg("place").alias("bits")), "bits")
+    if bits.count() > BITMAPS:
+        return rows.join(numbers.toDF(key).distinct(), key, "left_semi" if keep else "left_anti").select(*columns_of(rows))
+    bucket, held = fresh(rows, "bucket", "bits")
+    marked = rows.withColumn(bucket, F.bitmap_bucket_number(key)).join(F.broadcast(bits.toDF(bucket, held)), bucket, "inner" if keep else "left")
+    byte = f"ascii(decode(substring({held}, cast(bitmap_bit_position({key}) div 8 as int) + 1, 1), 'ISO-8859-1'))"
+    bit = F.expr(f"shiftright({byte}, cast(bitmap_bit_position({key}) % 8 as int)) & 1")
+    return marked.where(F.coalesce(bit, F.lit(0)) == int(keep)).select(*columns_of(rows))
+
+
 def texts_of(column: pa.Array | pa.ChunkedArray) -> list[str]:
     return [x or "" for x in column.to_pylist()]
 

@@ -30,7 +30,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from coffer.llm.common import columns_of, fresh, materialize, spread_join, table
+from coffer.llm.common import columns_of, drop_table, fresh, materialize, spread_join, standing, table
 
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = "A-Za-z0-9._%+-"
@@ -43,8 +43,10 @@ PATTERNS = {
 }
 TERM = r"[\p{L}\p{M}]{3,}"
 _BLOCK = 256
-#: Terms beside entities that are broadcast at most; with more, terms are counted before they are chosen.
+#: Terms beside entities that are broadcast at most; with more, a bit for the hash of each is, and what that lets pass is chosen after it is counted.
 BROADCAST_TERMS = 200_000
+#: Such bits at most (16 MiB).
+TERM_BITS = 1 << 27
 
 
 def _located(text: Column, pattern: str) -> Column:
@@ -176,9 +178,13 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, disclosure: float, remov
     if limit is None:
         words = words.limit(0)  # no entity has support
     beside = materialize(places.select("term").distinct(), "beside")
-    # the frequencies cover all documents; few terms are chosen before they are counted, many after
-    if few := beside.count() <= BROADCAST_TERMS:
+    # the frequencies cover all documents; few terms are chosen before they are counted, many by their hashes before and exactly after
+    count = beside.count()
+    if few := count <= BROADCAST_TERMS:
         words = words.join(F.broadcast(beside), "term", "left_semi")
+    else:
+        number = F.pmod(F.xxhash64("term"), F.lit(min(TERM_BITS, 16 << count.bit_length())))
+        words = standing(words.withColumn("number", number), "number", beside.select(number.alias("number"))).drop("number")
     frequency = words.groupBy("term").agg(F.count("*").alias("df_t")).where(F.col("df_t") <= F.lit(limit or 0.0))
     if not few:
         frequency = frequency.join(beside, "term", "left_semi")
@@ -192,7 +198,10 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, disclosure: float, remov
     told = told.where(F.col("told") >= disclosure).select("entity", "term", (F.col("told") >= removal).alias("removed"))
     hidden = evidence.join(told, ["entity", "term"]).groupBy("row", "term").agg(F.max("removed").alias("removed"))
     hits = places.join(hidden, ["row", "term"])
-    return hits.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "end", "removed"))).alias("terms"))
+    hits = materialize(hits.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "end", "removed"))).alias("terms")), "hits")
+    for done in (entities, mentions, places, beside, evidence):
+        drop_table(done)
+    return hits
 
 
 @dataclass
@@ -216,8 +225,10 @@ def sanitise(docs: DataFrame, disclosure: float = 0.8, removal: float = 0.95, va
     found = searched.select(F.col(row).alias("row"), F.col(mark).alias("print"), "text", F.col(spans).alias("spans"))
     terms = disclosing_terms(docs, found, disclosure, removal, value_support, owner_support).select(F.col("row").alias(row), F.col("terms").alias(hidden))
     empty = F.array().cast("array<struct<start:int,end:int,removed:boolean>>")
-    joined = searched.join(terms, row, "left").drop(row, mark, *([] if keep_text else ["text"]))
-    return Found(joined.withColumn(hidden, F.coalesce(hidden, empty)), spans, hidden)
+    # only rows with spans have terms, so that the others stay where they are
+    bare, spanned = searched.where(F.size(spans) == 0).withColumn(hidden, empty), searched.where(F.size(spans) > 0)
+    spanned = spanned.join(terms, row, "left").select(*columns_of(spanned), F.coalesce(hidden, empty).alias(hidden))
+    return Found(bare.unionByName(spanned).drop(row, mark, *([] if keep_text else ["text"])), spans, hidden)
 
 
 #: Code points of the pieces that a text is cut into before parts of it are taken.

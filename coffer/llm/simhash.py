@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from coffer.llm.common import _TABLE, columns_of, drop_table, fresh, gram_hash, in_slices, materialize, mix, prefix_hash, span_hash, spread_join, table
+from coffer.llm.common import _TABLE, columns_of, drop_table, fresh, gram_hash, in_slices, materialize, mix, prefix_hash, span_hash, spread_join, standing, table
 
 #: Sketches of a text for copies that differ in more than a few places, and shingles in each.
 SKETCHES, SKETCH_SHINGLES = 12, 4
@@ -220,6 +220,7 @@ def _similar(rows: DataFrame, pairs: DataFrame, width: int, similarity: float) -
             keep.append(both >= similarity * (len(u) + len(v) - both))
         return batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
+    rows = standing(rows, "row", pairs.select(F.explode(F.array("a", "b")).alias("row")))
     left = pairs.join(rows.select(F.col("row").alias("b"), F.col("text").alias("text")), "b")
     both = left.join(rows.select(F.col("row").alias("a"), F.col("text").alias("other")), "a")
     return both.select("a", "b", "text", "other").mapInArrow(in_slices(run), "a long, b long")
@@ -381,7 +382,8 @@ def unsettled_pairs(single: DataFrame, rooted: DataFrame, members: DataFrame, li
     pairs (a, b) of close fingerprints. Rows meet in the groups of ``members``,
     and where their fingerprints are linked. Groups of one root are done;
     in the others all pairs of two roots are compared by their shingle sets, those
-    of the largest root with each of the others only.
+    of the largest root with each of the others only. The pairs are a table of
+    their own, and the shingle sets are gone.
     """
     ends = rooted.groupBy("fp").agg(F.min("root").alias("least"), F.max("root").alias("most"))
     a, b = (ends.select(F.col("fp").alias(k), F.col("least").alias(f"{k}_least"), F.col("most").alias(f"{k}_most")) for k in ("a", "b"))
@@ -404,8 +406,11 @@ def unsettled_pairs(single: DataFrame, rooted: DataFrame, members: DataFrame, li
     def solve(part: pa.Table) -> list[tuple[int, int]]:
         return crossing_pairs(part["root"].to_numpy(), [np.frombuffer(x, np.uint64) for x in part["shingles"].to_pylist()], similarity)
 
-    sets = materialize(single.join(unsettled.select("row").distinct(), "row", "left_semi").select("row", "text").mapInArrow(in_slices(run), "row long, shingles binary"), "shingles")
-    return _solved(_crossing(unsettled).join(sets, "row"), solve)
+    sets = standing(single.select("row", "text"), "row", unsettled.select("row")).mapInArrow(in_slices(run), "row long, shingles binary")
+    sets = materialize(sets, "shingles")
+    more = materialize(_solved(_crossing(unsettled).join(sets, "row"), solve), "more")
+    drop_table(sets)
+    return more
 
 
 def _crossing(unsettled: DataFrame) -> DataFrame:
@@ -428,30 +433,40 @@ def _crossing(unsettled: DataFrame) -> DataFrame:
     return inner.select(*columns).unionByName(outer.select(*columns))
 
 
-def _classes(stored: DataFrame, row: str) -> tuple[DataFrame, DataFrame]:
-    """(row, digest) of every row, and (digest, row, n): the classes of equal texts with their first row; texts without words are one class."""
+def _digests(stored: DataFrame, row: str) -> DataFrame:
+    """(row, digest, text) of every row; texts without words have one digest."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    text = F.when(text.rlike(r"[^ \t-\r]"), text).otherwise(F.lit(""))
-    digests = stored.select(F.col(row).alias("row"), F.unhex(F.md5(text)).alias("digest"))
-    return digests, materialize(digests.groupBy("digest").agg(F.min("row").alias("row"), F.count("*").alias("n")), "texts")
+    words = F.when(text.rlike(r"[^ \t-\r]"), text).otherwise(F.lit(""))
+    return stored.select(F.col(row).alias("row"), F.unhex(F.md5(words)).alias("digest"), text.alias("text"))
 
 
-def _class_roots(stored: DataFrame, row: str, classes: DataFrame, width: int, similarity: float) -> DataFrame:
-    """(row, root): the first rows of the classes that are near copies of others, and the first row of each group."""
-    texts = stored.select(F.col(row).alias("row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    single = texts.join(classes.select("row"), "row", "left_semi")
+def _classes(stored: DataFrame, row: str, width: int) -> tuple[DataFrame, DataFrame]:
+    """(digest, row, n): the classes of equal texts with their first row; and (row, fp, sketches, signature, size) of those rows.
+
+    Every row is coded where it is read, copies too: their codes are far smaller
+    than the texts that would have to be told apart by a shuffle before.
+    """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = batch.column(1).to_pylist()
+        texts = batch.column(2).to_pylist()
         fps = pa.array(np.array([fingerprint(t, width) for t in texts], np.uint64).view(np.int64))
         sets = [shingle_set(t, width) for t in texts]
         drawn = pa.array([np.array(sketches(s), np.uint64).view(np.int64).tolist() for s in sets], pa.list_(pa.int64()))
         return pa.RecordBatch.from_arrays(
-            [batch.column(0), fps, drawn, pa.array([signature(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int32())],
-            names=["row", "fp", "sketches", "signature", "size"],
+            [batch.column(0), batch.column(1), fps, drawn, pa.array([signature(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int32())],
+            names=["row", "digest", "fp", "sketches", "signature", "size"],
         )
 
-    coded = materialize(single.mapInArrow(in_slices(run), "row long, fp long, sketches array<long>, signature binary, size int"), "sketches")
+    every = materialize(_digests(stored, row).mapInArrow(in_slices(run), "row long, digest binary, fp long, sketches array<long>, signature binary, size int"), "codes")
+    classes = materialize(every.groupBy("digest").agg(F.min("row").alias("row"), F.count("*").alias("n")), "texts")
+    coded = materialize(standing(every.drop("digest"), "row", classes.select("row")), "sketches")
+    drop_table(every)
+    return classes, coded
+
+
+def _class_roots(stored: DataFrame, row: str, coded: DataFrame, width: int, similarity: float) -> DataFrame:
+    """(row, root): the first rows of the classes that are near copies of others, and the first row of each group."""
+    single = stored.select(F.col(row).alias("row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     owners = coded.groupBy("fp").agg(F.min("row").alias("row"))
     close = materialize(links(coded.select("fp")), "links")
     linked = close.join(owners.select(F.col("fp").alias("a"), F.col("row").alias("ra")), "a").join(owners.select(F.col("fp").alias("b"), F.col("row").alias("rb")), "b")
@@ -461,7 +476,8 @@ def _class_roots(stored: DataFrame, row: str, classes: DataFrame, width: int, si
     found = materialize(components(edges), "found")
     rooted = coded.where("size > 0").select("row", "fp", "size").join(found.withColumnRenamed("node", "row"), "row", "left")
     rooted = materialize(rooted.withColumn("root", F.coalesce("root", "row")), "rooted")
-    more = materialize(unsettled_pairs(single, rooted, members, close, width, similarity), "more")
+    more = unsettled_pairs(single, rooted, members, close, width, similarity)
+    drop_table(coded)
     if not more.isEmpty():
         joined = materialize(components(more), "joined")
         lone = joined.join(found, "node", "left_anti")
@@ -491,19 +507,19 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> tup
     number takes a name that no column has.
     """
     stored, row = _numbered(docs)
-    digests, classes = _classes(stored, row)
-    found = _class_roots(stored, row, classes, width, similarity)
+    classes, coded = _classes(stored, row, width)
+    found = _class_roots(stored, row, coded, width, similarity)
     roots = classes.join(found, "row", "left").select("digest", "n", F.coalesce("root", "row").alias("root"))
-    return stored, row, spread_join(digests, roots, "digest").select("row", "root")
+    return stored, row, spread_join(_digests(stored, row).drop("text"), roots, "digest").select("row", "root")
 
 
 def drop_near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """``docs`` with one document of each group of near copies: the first row of the group. Results are defined as in :func:`near_copies`."""
     stored, row = _numbered(docs)
-    _, classes = _classes(stored, row)
-    found = _class_roots(stored, row, classes, width, similarity)
+    classes, coded = _classes(stored, row, width)
+    found = _class_roots(stored, row, coded, width, similarity)
     kept = classes.select("row").join(found.where("row <> root").select("row"), "row", "left_anti")
-    return stored.join(kept.withColumnRenamed("row", row), row, "left_semi").select(*columns_of(docs))
+    return standing(stored, row, kept).select(*columns_of(docs))
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,8 +8,9 @@ import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from coffer.llm import decontaminate, simhash, suffix
+from coffer.llm import common, decontaminate, simhash, suffix
 from helpers import documents, odd_rows, prose
 
 
@@ -357,3 +358,55 @@ def test_empty_tables(spark):
     assert simhash.near_duplicates(nothing).count() == 0
     assert simhash.drop_near_copies(nothing).count() == 0
     assert suffix.remove_repeats(nothing).count() == 0
+
+
+def written_by_shuffles(spark, run):
+    """Bytes that the shuffles of ``run`` wrote, from the status store of Spark's own interface."""
+    sc = spark.sparkContext
+    group = f"measured-{random.random()}"
+    sc.setJobGroup(group, group)
+    try:
+        out = run()
+    finally:
+        sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        stages = {s for j in sc.statusTracker().getJobIdsForGroup(group) for s in sc.statusTracker().getJobInfo(j).stageIds}
+        sc._jsc.clearJobGroup()
+    store = sc._jsc.sc().statusStore()
+    total = 0
+    for s in stages:
+        found = store.stageData(s, False, getattr(store, "stageData$default$3")(), False, getattr(store, "stageData$default$5")())
+        total += sum(found.apply(i).shuffleWriteBytes() for i in range(found.size()))
+    return out, total
+
+
+def test_near_copies_leave_texts_out_of_the_shuffles(spark, tmp_path):
+    """Texts that are nobody's copy go through no shuffle, broadcasts of whole tables or not."""
+    rng = random.Random(33)
+    texts = ["".join(chr(rng.randrange(97, 123)) if rng.random() < 0.85 else " " for _ in range(8000)) for _ in range(120)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(1000, texts[0]), (1001, texts[1] + " more")]
+    documents(spark, rows).write.parquet(f"{tmp_path}/docs")
+    docs, before = spark.read.parquet(f"{tmp_path}/docs"), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept, moved = written_by_shuffles(spark, lambda: simhash.drop_near_copies(docs).collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert {r.doc_id for r in kept} >= set(range(2, 120)) and len(kept) == 120
+    assert 0 < moved < sum(map(len, texts)) / 2
+
+
+@pytest.mark.parametrize("most", [16_384, 0])
+def test_rows_standing_in_a_set_of_numbers(spark, monkeypatch, most):
+    monkeypatch.setattr(common, "BITMAPS", most)
+    rng = random.Random(8)
+    numbers = [0, 1, 7, 8, 32767, 32768, 32769, 65536, (5 << 33), (5 << 33) + 1, 2**62]
+    numbers += [rng.randrange(100_000) for _ in range(200)]
+    rows = spark.createDataFrame([(n, str(n)) for n in numbers] + [(None, "none")], "row long, `odd ``name` string").withColumn("bucket", F.lit("clash"))
+    chosen = set(numbers[::3]) | {99_999_999}
+    some = spark.createDataFrame([(n,) for n in [*chosen, 7, 7]], "any long")
+    inside = common.standing(rows, "row", some)
+    assert inside.columns == rows.columns
+    assert sorted(r.row for r in inside.collect()) == sorted(n for n in numbers if n in chosen | {7})
+    outside = common.standing(rows, "row", some, keep=False).collect()
+    assert Counter(r.row for r in outside) == Counter([n for n in numbers if n not in chosen | {7}] + [None])
+    assert common.standing(rows, "row", some.limit(0)).count() == 0 and common.standing(rows, "row", some.limit(0), keep=False).count() == len(numbers) + 1
