@@ -30,7 +30,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from coffer.llm.common import columns_of, drop_table, fresh, materialize, spread_join, standing, table
+from coffer.llm.common import columns_of, drop_table, fresh, materialize, spread_join, table
 
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = "A-Za-z0-9._%+-"
@@ -43,10 +43,8 @@ PATTERNS = {
 }
 TERM = r"[\p{L}\p{M}]{3,}"
 _BLOCK = 256
-#: Terms beside entities that are broadcast at most; with more, a bit for the hash of each is, and what that lets pass is chosen after it is counted.
+#: Terms beside entities that are broadcast at most; with more, terms are counted before they are chosen.
 BROADCAST_TERMS = 200_000
-#: Such bits at most (16 MiB).
-TERM_BITS = 1 << 27
 
 
 def _located(text: Column, pattern: str) -> Column:
@@ -178,13 +176,9 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, disclosure: float, remov
     if limit is None:
         words = words.limit(0)  # no entity has support
     beside = materialize(places.select("term").distinct(), "beside")
-    # the frequencies cover all documents; few terms are chosen before they are counted, many by their hashes before and exactly after
-    count = beside.count()
-    if few := count <= BROADCAST_TERMS:
+    # the frequencies cover all documents; few terms are chosen before they are counted, many after
+    if few := beside.count() <= BROADCAST_TERMS:
         words = words.join(F.broadcast(beside), "term", "left_semi")
-    else:
-        number = F.pmod(F.xxhash64("term"), F.lit(min(TERM_BITS, 16 << count.bit_length())))
-        words = standing(words.withColumn("number", number), "number", beside.select(number.alias("number"))).drop("number")
     frequency = words.groupBy("term").agg(F.count("*").alias("df_t")).where(F.col("df_t") <= F.lit(limit or 0.0))
     if not few:
         frequency = frequency.join(beside, "term", "left_semi")
