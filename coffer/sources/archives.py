@@ -86,18 +86,18 @@ class _EntriesReader(DataSourceReader):
         return [_Archive(p) for p in _files(self.path, self.glob)]
 
     def read(self, part: _Archive) -> Iterator[pa.RecordBatch]:
-        try:
-            file, length = _open(part.path)
-            with file:
+        file, length = _open(part.path)
+        with file:
+            try:
                 place = Z.checked_directory(file, length)
-        except Z.ZipError as e:
-            if not self.permissive:
-                raise
-            yield _entry_batch(part.path, [_REFUSED], e.code)
-            return
-        records = Z.records(*place)
-        while found := list(islice(records, BATCH)):
-            yield _entry_batch(part.path, found)
+            except Z.ZipError as e:
+                if not self.permissive:
+                    raise
+                yield _entry_batch(part.path, [_REFUSED], e.code)
+                return
+            records = Z.records(file, *place)
+            while (batch := _entry_batch(part.path, list(islice(records, BATCH)))).num_rows:
+                yield batch
 
 
 class ZipEntries(DataSource):

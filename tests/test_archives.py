@@ -271,3 +271,39 @@ def test_a_long_directory_is_not_held_as_rows(tmp_path):
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert rows == n and peak < 25_000_000  # 40,000 records as dictionaries take more than 40 MB
+
+
+def test_a_long_directory_is_not_held_as_bytes(tmp_path):
+    n = 40_000
+    data, listed = io.BytesIO(), []
+    for i in range(n):
+        name = b"%06d" % i * (i % 300 + 20)  # records lie across the blocks that are read
+        listed.append(zips.central(name, 0, 0, 0, data.tell()))
+        data.write(zips.local(name, b""))
+    directory_bytes = b"".join(listed)
+    data.write(directory_bytes + zips.end(n, len(directory_bytes), data.tell()))
+    (tmp_path / "a.zip").write_bytes(data.getvalue())
+    reader = archives._EntriesReader({"path": str(tmp_path / "a.zip")})
+    (part,) = reader.partitions()
+    tracemalloc.start()
+    indices = [i for b in reader.read(part) for i in b.column("entry_index").to_pylist()]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert indices == list(range(n)) and len(directory_bytes) > 40_000_000 and peak < 30_000_000
+    names = [name for b in reader.read(part) for name in b.column("raw_name").to_pylist()]
+    assert names == [i.filename.encode() for i in zipfile.ZipFile(tmp_path / "a.zip").infolist()]  # an independent reader
+
+
+def test_directories_out_of_order():
+    bodies = [zips.local(b"%d" % i, b"body") for i in range(3)]
+    places = [sum(map(len, bodies[:i])) for i in range(3)]
+
+    def made(offsets):
+        listed = b"".join(zips.central(b"%d" % i, 4, 4, zlib.crc32(b"body"), offsets[i]) for i in (2, 0, 1))
+        return b"".join(bodies) + listed + zips.end(3, len(listed), len(b"".join(bodies)))
+
+    assert [e["raw_name"] for e in directory(made(places))] == [b"2", b"0", b"1"]
+    for offsets, code in (([0, 0, places[2]], "overlappingEntries"), ([places[1], 1, places[2]], "overlappingEntries"), ([0, 1 << 20, 0], "corrupt")):
+        with pytest.raises(Z.ZipError) as e:
+            directory(made(offsets))
+        assert e.value.code == code
